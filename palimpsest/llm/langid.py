@@ -30,6 +30,8 @@ TOP = 400
 #: Documents of each language that profiles are fitted on, about.
 SAMPLE = 1500
 UNKNOWN = "und"
+#: A text with a lower score has next to nothing in common with any profile.
+FLOOR = 0.05
 
 
 @functools.cache
@@ -138,3 +140,15 @@ def held_out(df: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: profiles from the documents outside fold 2 of 4, predictions for all."""
     profiles = fit(df.filter(common.fold("doc_id", 4) != 2))
     return identify(df, profiles).select("doc_id", (common.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def keep(df: DataFrame, profiles: dict[str, list[int]], floor: float = FLOOR, text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns, whose text is in one of the languages: not `und`, and with a score of `floor` at least."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Profiles(profiles)
+        for batch in it:
+            found = [model.predict(t or "") for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= floor for lang, score in found], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
