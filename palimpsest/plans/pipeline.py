@@ -121,7 +121,7 @@ def _books(found: DataFrame, how: dict) -> tuple[DataFrame, DataFrame]:
 
 
 def restore(spark: SparkSession, out: str, passphrase: str | None = None, keyfile: str | None = None) -> DataFrame:
-    """rel, content, restored, unresolved of the text and JSON artifacts below `out`; needs the audit and the passphrase only."""
+    """rel, content, restored, unresolved of the artifacts below `out`; needs the audit and the passphrase only."""
     spans = spark.read.parquet(f"{out}/audit_spans")
     if "recovery" not in spans.columns:
         raise ValueError("this run kept nothing to recover from")
@@ -134,9 +134,12 @@ def restore(spark: SparkSession, out: str, passphrase: str | None = None, keyfil
     text = recover.markdown(texts, told.filter("unit = 'text'").withColumnsRenamed({"masked_start": "md_start", "masked_end": "md_end"}), key)
     docs = made.filter("kind = 'json'").select(F.col("rel").alias("doc_id"), F.decode("content", "utf-8").alias("json"))
     back = jsonleaves.recover(docs, told.filter("path is not null"), key)
+    place = F.split("unit", ":")
+    cells = told.filter("path is null and unit <> 'text'").select("*", *(place[i].cast("int").alias(c) for i, c in enumerate(("sheet_idx", "row", "col"))))
+    books = workbook.recover(made.filter("kind = 'xlsx'").select(F.col("rel").alias("doc_id"), "content"), cells, key)
     return text.select(F.col("doc_id").alias("rel"), F.encode("text", "utf-8").alias("content"), "restored", "unresolved").unionByName(
         back.select(F.col("doc_id").alias("rel"), F.encode("json", "utf-8").alias("content"), "restored", "unresolved")
-    )
+    ).unionByName(books.withColumnRenamed("doc_id", "rel"))
 
 
 def sensitive_report(spark: SparkSession, docs: DataFrame, options: Options | None = None) -> DataFrame:

@@ -115,6 +115,58 @@ class Workbook:
                 z.writestr(info, data)
         return out.getvalue()
 
+    def raw_texts(self) -> Iterator[tuple[int, int, int, str]]:
+        """Sheet, row, column and text, line breaks and all, of cells that hold text."""
+        for k, (_, path) in enumerate(self.sheets):
+            for row in ET.fromstring(self.zip.read(path)).iter(_q("row")):
+                for c in row.iter(_q("c")):
+                    if (x := self.value(c)) is not None and x[1] == "str":
+                        yield k, int(row.get("r")), _column(c.get("r")), x[0]
+
+    def with_values(self, values: dict[tuple[int, int, int], tuple[str, str]]) -> bytes:
+        """The workbook with these values (text and kind) in its cells, all else as it is."""
+        paths, out = {p: k for k, (_, p) in enumerate(self.sheets)}, io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for info in self.zip.infolist():
+                data = self.zip.read(info.filename)
+                if info.filename in paths:
+                    root = ET.fromstring(data)
+                    for row in root.iter(_q("row")):
+                        for c in row.iter(_q("c")):
+                            if (v := values.get((paths[info.filename], int(row.get("r")), _column(c.get("r"))))) is not None:
+                                self._set(c, *v)
+                    data = ET.tostring(root, encoding="utf-8", xml_declaration=True)
+                z.writestr(info, data)
+        return out.getvalue()
+
+    @staticmethod
+    def _set(c, text: str, kind: str = "str") -> None:
+        """Puts a value into a cell, as what it was where that can be read."""
+        for child in list(c):
+            c.remove(child)
+        c.attrib.pop("t", None)
+        try:
+            match kind:
+                case "int" | "float":
+                    number = repr(float(text)) if kind == "float" else str(int(text))
+                case "bool":
+                    c.set("t", "b")
+                    number = "1" if text == "TRUE" else "0"
+                case "date" | "datetime":
+                    since = datetime.fromisoformat(text) - datetime(1899, 12, 30)
+                    number = repr(since.total_seconds() / 86400)
+                case "time":
+                    h, m, s = map(int, text.split(":"))
+                    number = repr((h * 3600 + m * 60 + s) / 86400)
+                case _:
+                    raise ValueError(kind)
+            ET.SubElement(c, _q("v")).text = number
+        except ValueError:
+            c.set("t", "inlineStr")
+            t = ET.SubElement(ET.SubElement(c, _q("is")), _q("t"))
+            t.text = text
+            t.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+
     @staticmethod
     def _without(data: bytes, values: list[str]) -> bytes:
         root = ET.fromstring(data)
@@ -153,12 +205,7 @@ class Workbook:
                     for v in values:
                         f.text = f.text.replace(v, "***")
                 if (text := edits.get((last, _column(c.get("r"))))) is not None:
-                    for child in list(c):
-                        c.remove(child)
-                    c.set("t", "inlineStr")
-                    t = ET.SubElement(ET.SubElement(c, _q("is")), _q("t"))
-                    t.text = text
-                    t.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+                    Workbook._set(c, text)
         return ET.tostring(root, encoding="utf-8", xml_declaration=True)
 
 
@@ -208,3 +255,54 @@ def redact(files: DataFrame, edits: DataFrame, values: DataFrame, id_col: str =
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "content": out})
 
     return both.mapInPandas(run, f"doc_id {kind}, content binary")
+
+
+def recover(files: DataFrame, spans: DataFrame, key: bytes, sources: DataFrame | None = None) -> DataFrame:
+    """doc_id, content, restored, unresolved. files: doc_id, content as masked; spans: doc_id, sheet_idx, row, col, kind,
+    masked_value, masked_start, masked_end, encrypted_value.
+
+    All masks of a cell come back, or none; a number, boolean or date that was masked whole is one again; with sources
+    (doc_id, content), a text that equals its source but for line breaks takes these.
+    """
+    from palimpsest.functions import crypto
+
+    one = F.struct("sheet_idx", "row", "col", "kind", "masked_value", F.col("masked_start").alias("start"), F.col("masked_end").alias("end"), crypto.opened(F.col("encrypted_value"), key).alias("value"))
+    both = files.select("doc_id", "content").join(spans.groupBy("doc_id").agg(F.collect_list(one).alias("told")), "doc_id", "left")
+    origin = sources.select("doc_id", F.col("content").alias("source")) if sources is not None else None
+    both = both.join(origin, "doc_id", "left") if origin is not None else both.withColumn("source", F.lit(None).cast("binary"))
+    kind = files.schema["doc_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for doc, data, told, source in zip(pdf["doc_id"], pdf["content"], pdf["told"], pdf["source"]):
+                told = [] if told is None else list(told)
+                content, n = _restored(bytes(data), told, bytes(source) if source is not None else None)
+                rows.append((doc, content, n, len(told) - n))
+            yield pd.DataFrame(rows, columns=["doc_id", "content", "restored", "unresolved"])
+
+    return both.mapInPandas(run, f"doc_id {kind}, content binary, restored int, unresolved int")
+
+
+def _restored(data: bytes, told: list, source: bytes | None) -> tuple[bytes, int]:
+    from palimpsest.sources.jsonleaves import splice
+
+    book = Workbook(data)
+    now = {(k, r, c): t for _, k, r, c, t, _ in book.cells()}
+    raw = {(k, r, c): t for k, r, c, t in Workbook(source).raw_texts()} if source else {}
+    cells: dict[tuple, list] = {}
+    for s in told:
+        if s["value"] is not None:
+            cells.setdefault((s["sheet_idx"], s["row"], s["col"]), []).append(s)
+    values, done = {}, 0
+    for at, parts in cells.items():
+        text = now.get(at, "")
+        if any(text[p["start"] : p["end"]] != p["masked_value"] for p in parts):
+            continue
+        text = splice(text, [{"start": p["start"], "end": p["end"], "masked": p["value"]} for p in parts])
+        whole = len(parts) == 1 and text == parts[0]["value"]
+        if at in raw and raw[at].replace("\r", " ").replace("\n", " ") == text:
+            text = raw[at]
+        values[at] = (text, parts[0]["kind"] if whole else "str")
+        done += len(parts)
+    return book.with_values(values), done

@@ -4,6 +4,7 @@ import json
 
 from palimpsest import cli
 from palimpsest.plans import pipeline, queries
+from palimpsest.sources import workbook
 from tests.test_structures import book
 
 
@@ -29,6 +30,8 @@ def test_run_resume_and_restore(spark, tmp_path, capsys):
     assert bytes(back["a.txt"].content).decode() == (src / "a.txt").read_text(encoding="utf-8")
     assert json.loads(bytes(back["sub/b.json"].content)) == json.loads((src / "sub" / "b.json").read_text())
     assert {r.unresolved for r in back.values()} == {0}
+    texts = {c[1:4]: c[4] for c in workbook.Workbook(bytes(back["c.xlsx"].content)).cells()}
+    assert texts[0, 1, 1] == "电话 13812345678" and texts[0, 1, 2] == "13812345678"
     assert cli.main([out, "--recover", "--key", "other"], spark) == 1
 
 

@@ -152,6 +152,59 @@ def test_workbook(spark):
     assert again[0, 1, 1] == "电话 138****5678" and again[0, 2, 1] == "138****5678" and again[0, 2, 2] == "2.5"
 
 
+def test_workbook_comes_back(spark):
+    data = book([("A1", "s", 0), ("B1", "i", "a&#10;13812345678&#10;b"), ("A2", "n", "13812345678"), ("D2", "d", "45000")])
+    df = spark.createDataFrame([("a", bytearray(data))], "doc_id string, content binary")
+    cells = workbook.cells(df, "doc_id")
+    edits = resolve.sanitize(cells, fields=select(DEFAULTS, ["phone"])).filter(F.size("spans") > 0)
+    red = workbook.redact(df, edits, edits.select("doc_id", F.explode("spans.value").alias("value")), "doc_id")
+    s = edits.select("doc_id", "sheet_idx", "row", "col", "kind", F.explode("spans").alias("s"))
+    spans = s.select("doc_id", "sheet_idx", "row", "col", "kind", F.col("s.masked").alias("masked_value"), F.col("s.out_start").alias("masked_start"), F.col("s.out_end").alias("masked_end"), crypto.token(F.col("s.value"), KEY).alias("encrypted_value"))
+    back = workbook.recover(red, spans, KEY, df).first()
+    assert back.unresolved == 0 and back.restored == 4
+    assert [c[1:] for c in workbook.Workbook(bytes(back.content)).cells()] == [c[1:] for c in workbook.Workbook(data).cells()]
+    assert "a\n13812345678\nb" in [x[3] for x in workbook.Workbook(bytes(back.content)).raw_texts()]
+    assert workbook.recover(red, spans, bytes(32)).first().restored == 0
+
+
+def test_rectangles(spark):
+    from palimpsest.operators import rects
+
+    line = lambda a, b, y: {"text": "x" * (b - a), "box": {"x0": 0.0, "y0": y, "x1": 100.0, "y1": y + 10}, "start": a, "end": b}
+    schema = f"doc_id int, {layout.BLOCK}"
+    page = {"x0": 0.0, "y0": 50.0, "x1": 300.0, "y1": 90.0}
+    rows = [(1, 0, "paragraph", "0123456789\n0123456789", 1, None, None, [line(0, 10, 0.0), line(11, 21, 10.0)], None, None, 100.0, 200.0), (1, 1, "table", "tt", 1, None, page, None, None, None, 100.0, 200.0)]
+    b = documents.placed(spark.createDataFrame(rows, schema))
+    spans = spark.createDataFrame([(1, 5, 13), (1, 22, 25)], "doc_id int, start int, end int")
+    got = sorted((r.start, r.page, *r.box) for r in rects.plan(spans, b).collect())
+    assert got == [(5, 0, 0.0, 9.0, 21.0, 21.0), (5, 0, 49.0, 0.0, 100.0, 11.0), (22, 0, 0.0, 50.0, 100.0, 90.0)]
+    assert rects.per_page(rects.plan(spans, b)).first().regions == 3 and rects.mosaic_block(16) == 33
+
+
+def test_model_findings(spark):
+    from palimpsest.operators import detect, models
+
+    def make():
+        def provider(system, user):
+            assert "- phone:" in system
+            if "boom" in user:
+                raise RuntimeError("no")
+            return '```json\n{"items": [{"field_type": "person_name", "value": "Ann"}, {"field_type": "zzz", "value": "met"},]}\n```'
+
+        return provider
+
+    chunks = spark.createDataFrame([(1, 10, "we met Ann $1 \\1"), (2, 0, "boom Ann")], "doc_id int, base int, chunk string")
+    asked = models.ask(chunks, make, DEFAULTS, "only adults").persist()
+    assert {r.doc_id: r.error is None for r in asked.collect()} == {1: True, 2: False}
+    assert [(r.span.start, r.span.value) for r in models.spans(asked, DEFAULTS).collect()] == [(17, "Ann")]
+    docs = spark.createDataFrame([(1, "0123456789we met Ann $1"), (2, "x")], "doc_id int, text string")
+    out = resolve.resolve(F.col("spans"))
+    both = detect.detect(models.hybrid(docs, asked, DEFAULTS), findings=F.col("findings")).select("doc_id", out.alias("s"))
+    assert {r.doc_id: [x.value for x in r.s] for r in both.collect()} == {1: ["Ann"], 2: []}
+    for text, n in (('{"findings": [{"field_type": "a", "value": "b"}', 1), ("[]", 0), ("", 0), (None, 0), ("words", 0), ('x [{"field_type": "a", "value": "b"}] y', 1)):
+        assert len(models.parse(text)) == n
+
+
 def test_html_tables():
     t = "<table><thead><tr><th>a</th><th>b|c</th></tr></thead><tr><td> x<b>y</b>\nz </td></tr></table>"
     assert html.table_to_markdown(t) == "| a | b\\|c |\n| --- | --- |\n| xy z |  |"
