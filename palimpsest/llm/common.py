@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import gc
+import itertools
 import os
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -114,16 +116,15 @@ def csr(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
-class _Numbered(dict):
-    """Numbers keys as they are asked for; new holds those not seen before."""
+class Numbered(defaultdict):
+    """Numbers keys as they are asked for."""
 
     def __init__(self):
-        self.new: list = []
+        super().__init__(itertools.count().__next__)
 
-    def __missing__(self, key):
-        self.new.append(key)
-        self[key] = n = len(self)
-        return n
+    def new(self, before: int) -> list:
+        """The keys numbered since there were `before` of them, in order."""
+        return [*itertools.islice(reversed(self), len(self) - before)][::-1]
 
 
 class PieceCache:
@@ -137,11 +138,16 @@ class PieceCache:
         self._empty()
 
     def _empty(self) -> None:
-        self.at = _Numbered()
+        self.at = Numbered()
         self.flat = np.zeros(1024, np.int32)
         self.starts = np.zeros(1024, np.int64)
         self.lens = np.zeros(1024, np.int64)
-        self.used = self.held = 0
+        self.used = self.held = self.done = 0
+
+    def known(self, piece: bytes) -> list[int] | None:
+        """The ids of a piece, if they are remembered."""
+        k = self.at.get(piece, -1)
+        return self.flat[self.starts[k] : self.starts[k] + self.lens[k]].tolist() if 0 <= k < self.done else None
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
@@ -149,23 +155,22 @@ class PieceCache:
 
     def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces one after another, and the number of ids of each piece."""
-        if len(self.at) > self.most or self.held > 64 * self.most:
+        if len(self.at) > self.most or self.held > 40 * self.most:
             self._empty()
-        at = self.at
+        at, n = self.at, len(self.at)
         which = np.fromiter(map(at.__getitem__, pieces), np.int64, len(pieces))
-        if missing := at.new:
-            at.new = []
+        if missing := at.new(n):
             self.held += sum(map(len, missing))
-            n = len(at) - len(missing)
             self.starts, self.lens = self._room(self.starts, len(at)), self._room(self.lens, len(at))
             encoded = self.encode(missing)
             sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
             total = int(sizes.sum())
             self.flat = self._room(self.flat, self.used + total)
-            self.flat[self.used : self.used + total] = np.fromiter((i for ids in encoded for i in ids), np.int32, total)
+            self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(encoded), np.int32, total)
             self.starts[n : len(at)] = self.used + np.cumsum(sizes) - sizes
             self.lens[n : len(at)] = sizes
             self.used += total
+            self.done = len(at)
         lens = self.lens[which]
         return self.flat[csr(lens, self.starts[which])], lens
 
@@ -187,3 +192,8 @@ def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished jobs that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """df, whose rows hold no texts, in an eighth of the partitions that shuffles make (8 at least): fewer and larger files."""
+    return df.coalesce(max(8, partitions(df.sparkSession) // 8))

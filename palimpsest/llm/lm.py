@@ -21,6 +21,8 @@ rows; other columns of the input are not looked at.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -41,26 +43,32 @@ BLOCKS = 2
 class Words:
     """Hashes of words, each hashed once while it is remembered."""
 
-    def __init__(self, most: int = 250_000):
+    def __init__(self, most: int = 500_000):
         self.most = most
         self._empty()
 
     def _empty(self) -> None:
-        self.at, self.keys = common._Numbered(), np.zeros(0, np.uint64)
+        self.at, self.keys = common.Numbered(), np.zeros(0, np.uint64)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         if len(self.at) > self.most:
             self._empty()
+        n = len(self.at)
         at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        if self.at.new:
-            self.keys = np.concatenate([self.keys, np.fromiter(map(xxhash.xxh64_intdigest, self.at.new), np.uint64, len(self.at.new))])
-            self.at.new = []
+        if new := self.at.new(n):
+            self.keys = np.concatenate([self.keys, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))])
         return self.keys[at]
 
 
+@functools.cache
+def _words() -> Words:
+    """One for all tasks of a worker."""
+    return Words()
+
+
 def tokens(texts: list[str], words: Words | None = None, limit: int = common.BATCH_CHARS) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the tokens of all texts one after another, each text's end included, and the number of tokens of each."""
-    words = words or Words()
+    words = words or _words()
     parts, sizes, lo = [], [], 0
     while lo < len(texts):
         hi, size = lo, 0
@@ -102,10 +110,12 @@ def _unpack(data: bytes, bits: int) -> np.ndarray:
 
 
 def _asked(keys: np.ndarray, each: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For words and pairs: all keys as they occur, and the distinct ones, which is what a block asks for."""
-    before = contexts(keys, each)
-    both = pairs(before, keys)
-    return {1: (keys, np.unique(np.append(keys, START))), 2: (both, np.unique(both))}
+    """For words and pairs: the distinct keys, which is what a block asks for, and which of them each token is.
+
+    The words' have START besides, as the last of the tokens.
+    """
+    both = pairs(contexts(keys, each), keys)
+    return {1: np.unique(np.append(keys, START), return_inverse=True), 2: np.unique(both, return_inverse=True)}
 
 
 def _edges(buckets: int, bits: int) -> np.ndarray:
@@ -121,10 +131,10 @@ def requests(docs: DataFrame, buckets: int) -> DataFrame:
         trains = group.column("trains").to_numpy()
         use = np.repeat(trains, each)
         out: dict[str, list] = {"block": [], "ord": [], "bucket": [], "keys": [], "counts": []}
-        for order, (all_keys, distinct) in _asked(keys, each).items():
-            seen = np.bincount(np.searchsorted(distinct, all_keys[use]), minlength=len(distinct))
+        for order, (distinct, which) in _asked(keys, each).items():
+            seen = np.bincount(which[: len(use)][use], minlength=len(distinct))
             if order == 1:
-                seen[np.searchsorted(distinct, START)] = trains.sum()
+                seen[which[-1]] = trains.sum()
             cuts = [0, *np.searchsorted(distinct, _edges(buckets, BITS[order])).tolist(), len(distinct)]
             for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if a < b:
@@ -203,16 +213,16 @@ def score(df: DataFrame, trains: Column | None = None, id_col: str = "doc_id", t
         counts = {}
         told = told.sort_by([("ord", "ascending"), ("bucket", "ascending")])
         orders = np.asarray(told.column("ord"))
-        before = contexts(keys, each)
-        for order, (all_keys, distinct) in _asked(keys, each).items():
+        starts = np.cumsum(each) - each
+        for order, (distinct, which) in _asked(keys, each).items():
             got = np.frombuffer(b"".join(told.filter(pa.array(orders == order)).column("counts").to_pylist()), "<u4").astype(np.float64)
             if len(got) != len(distinct):
                 raise ValueError("the answers are not those to this block's requests")
-            counts[order] = got[np.searchsorted(distinct, all_keys)]
-            if order == 1:
-                counts[0] = got[np.searchsorted(distinct, before)]
+            counts[order] = got[which[: len(keys)]]
+            if order == 1:  # of the token before each
+                counts[0] = np.append(0.0, counts[1][:-1])
+                counts[0][starts] = got[which[-1]]
         model = Automaton(n, v)
-        starts = np.cumsum(each) - each
         each_sum = lambda x: np.add.reduceat(x, starts)  # noqa: E731  every text has a token
         return pa.table(
             {

@@ -7,15 +7,21 @@ its chunks one after another; a cache maps chunks to ids, and the library encode
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
+import unicodedata
 
 import numpy as np
 
 from palimpsest.llm import common
 
-#: White space that isn't a single space or line break between other signs: such texts are cut before spaces that a word follows, and only there.
-ODD = re.compile(r"[^\S \n]|[ \n](?=\s|$)|^\s")
+#: Marks that end a word without being part of its pre-token.
+MARKS = b".,;:!?"
+ENDS = frozenset(MARKS[i : i + 1] for i in range(len(MARKS)))
+#: What a text lacks whose white space is single spaces and line breaks between words.
+ODD = ["\0", "  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
+#: A space that a word follows begins a pre-token, whatever comes before it.
 BEFORE_WORD = re.compile(r"(?= \S)")
 
 
@@ -29,51 +35,111 @@ def _library(path: str):
     return tokenizer
 
 
-class WordTokenizer:
-    """For tokenizers that drop white space: chunks are what ASCII white space separates."""
+@functools.cache
+def byte_letters() -> dict[int, str]:
+    """The printable characters by which byte-level vocabularies write bytes: themselves, or 256 and up in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(rest)) for b in range(256)}
 
-    def __init__(self, path: str):
+
+class _Tokenizer:
+    """Chunks through a cache. A word of letters alone is one pre-token, so the library's model takes it directly;
+    marks after such a word are a pre-token of their own; all else takes the library's whole way."""
+
+    def __init__(self, path: str, most: int = 900_000):
         self.library = _library(path)
-        self.cache = common.PieceCache(self._encode)
+        self.model = self.library.model
+        self.cache = common.PieceCache(self._encode, most)
+        self.marks: dict[bytes, list[int]] = {}
 
-    def _encode(self, pieces: list[bytes]) -> list[list[int]]:
+    def _whole(self, pieces: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
 
+    def _word(self, stem: bytes) -> list[int] | None:
+        """The ids of a word of letters; None if it isn't one."""
+        raise NotImplementedError
+
+    def _encode(self, pieces: list[bytes]) -> list[list[int]]:
+        out: list = [None] * len(pieces)
+        slow: list[int] = []
+        word, known = self._word, self.cache.known
+        for k, piece in enumerate(pieces):
+            if piece[-1:] in ENDS:
+                stem = piece.rstrip(MARKS)
+                if (ids := known(stem)) is None and (ids := word(stem)) is None:
+                    slow.append(k)
+                    continue
+                marks = piece[len(stem) :]
+                if marks not in self.marks:
+                    self.marks[marks] = self._whole([marks])[0]
+                out[k] = [*ids, *self.marks[marks]]
+            elif (ids := word(piece)) is None:
+                slow.append(k)
+            else:
+                out[k] = ids
+        for k, ids in zip(slow, self._whole([pieces[k] for k in slow])):
+            out[k] = ids
+        return out
+
+
+class WordTokenizer(_Tokenizer):
+    """For tokenizers that compose and lower-case text and drop white space: chunks are what ASCII white space separates."""
+
+    def _word(self, stem: bytes) -> list[int] | None:
+        if stem.isalpha():  # of ASCII letters
+            return [t.id for t in self.model.tokenize(stem.decode().lower())]
+        text = stem.decode()
+        # A sigma's lower case depends on its place.
+        if stem.isascii() or not text.isalpha() or "\u03a3" in text or not unicodedata.is_normalized("NFC", text):
+            return None
+        text = text.lower()
+        if not (text.isalpha() and unicodedata.is_normalized("NFC", text)):
+            return None
+        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(byte_letters()))]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
-        words = [t.encode().split() for t in texts]
-        ids, lens = self.cache([w for ws in words for w in ws])
+        # Lower case first saves cache entries; beside other signs it could change what composes.
+        words = [(t.lower() if t.isascii() else t).encode().split() for t in texts]
+        ids, lens = self.cache(list(itertools.chain.from_iterable(words)))
         return ids, common.sums(lens, np.fromiter(map(len, words), np.int64, len(words)))
 
 
-class ByteTokenizer:
-    """For byte-level tokenizers: a space goes with the word after it, so texts are cut before single spaces and around single line breaks."""
-
-    def __init__(self, path: str):
-        self.library = _library(path)
-        self.cache = common.PieceCache(self._encode)
-
-    def _encode(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+class ByteTokenizer(_Tokenizer):
+    """For byte-level tokenizers: a space goes with the word after it, so texts are cut before single spaces and single line breaks."""
+
+    def __init__(self, path: str, most: int = 900_000):
+        super().__init__(path, most)
+        self.line = self._whole([b"\n"])[0]
+
+    def _word(self, stem: bytes) -> list[int] | None:
+        first = stem[:1]
+        if first == b" ":
+            if (word := stem[1:]).isalpha():
+                return [t.id for t in self.model.tokenize("\u0120" + word.decode())]
+        else:
+            word = stem[1:] if first == b"\n" else stem
+        if not word.isalpha():
+            if word.isascii() or not word.decode().isalpha():
+                return None
+            letters = word.decode("latin-1").translate(byte_letters())
+        else:
+            letters = word.decode()
+        ids = [t.id for t in self.model.tokenize("\u0120" + letters if first == b" " else letters)]
+        return [*self.line, *ids] if first == b"\n" else ids
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
+    def chunks(text: str) -> list[bytes]:
         if not text:
             return []
-        if ODD.search(text):
-            return BEFORE_WORD.split(text)
-        out: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + w for w in rest]
-        return out
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ODD):
+            return [c.encode() for c in BEFORE_WORD.split(text)]
+        return text.encode().replace(b" ", b"\0 ").replace(b"\n", b"\0\n").split(b"\0")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         chunks = [self.chunks(t) for t in texts]
-        ids, lens = self.cache([c for cs in chunks for c in cs])
+        ids, lens = self.cache(list(itertools.chain.from_iterable(chunks)))
         return ids, common.sums(lens, np.fromiter(map(len, chunks), np.int64, len(chunks)))
 
 
