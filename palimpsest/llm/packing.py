@@ -108,7 +108,7 @@ def plan(counts: dict[int, int], size: int = 2048) -> list[tuple[int, int, int,
 
 def place(rows: DataFrame, size: int = 2048) -> DataFrame:
     """The rows of pieces() with sequence_id and offset."""
-    counts = common.table(rows.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    counts = rows.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     # At most `size` rows reach the driver, however many pieces there are.
     hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = sorted(plan(hist, size))
@@ -131,7 +131,7 @@ def place(rows: DataFrame, size: int = 2048) -> DataFrame:
 
     kept = [c for c in ranked.columns if c != "rank"]
     schema = ", ".join(f"`{c}` {ranked.schema[c].dataType.simpleString()}" for c in kept)
-    return ranked.mapInArrow(take, f"{schema}, sequence_id long, offset long")
+    return common.narrow(ranked).mapInArrow(take, f"{schema}, sequence_id long, offset long")
 
 
 def pack(df: DataFrame, path: str, end: int = 0, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
