@@ -102,10 +102,10 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         .sortWithinPartitions("norm", F.desc("chars"), F.asc_nulls_last("best_id"))
         .select("norm", "best_id", "members")
     )
-    # Without texts from here on. A group's rows are as many as the batches that hold it.
-    found = common.table(neighbours(dealt), "equal")
+    # Without texts from here on. A group's rows are as many as the batches that hold it. Both uses read one exchange.
+    found = neighbours(dealt)
     sizes = found.groupBy("text_sha256").agg(F.sum(F.size("members")).cast("long").alias("group_size"))
-    return found.join(sizes, "text_sha256").select("*", F.posexplode("members").alias("place", "doc_id")).select(
+    return common.narrow(found.join(sizes, "text_sha256")).select("*", F.posexplode("members").alias("place", "doc_id")).select(
         "doc_id", "keep_id", "group_size", (F.col("leads") & (F.col("place") == 0)).alias("kept"), "text_sha256"
     )
 
