@@ -22,11 +22,8 @@ def _width(value: Column) -> Column:
 
 
 def _grams(text: Column, width: int) -> Column:
-    """The distinct n-grams of a text; its characters are split once, so the work is in proportion to its length."""
-    signs = F.split(text, "")
-    at = F.sequence(F.lit(0), F.greatest(F.length(text) - width, F.lit(0)))
-    grams = F.transform(at, lambda i: F.concat(*(F.get(signs, i + k) for k in range(width))))
-    return F.when(F.length(text) >= width, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    """The distinct n-grams of a text, in one pass: a lookahead matches at every character."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)))
 
 
 def by_grams(texts: DataFrame, values: DataFrame, id_col: str, text_col: str) -> DataFrame:

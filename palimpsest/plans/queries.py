@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import checksums, crypto, geometry, patterns
-from palimpsest.operators import audit, detect, documents, newlines, recover, resolve, verify
+from palimpsest.operators import audit, detect, documents, images, models, newlines, recover, rects, resolve, verify
 from palimpsest.operators.specs import DEFAULTS, Field, Mask, select
-from palimpsest.sources import files, html, jsonleaves
+from palimpsest.sources import files, fixtures, html, jsonleaves, layout
 from palimpsest.streaming.sanitize import counts_by_window
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -349,11 +349,16 @@ def value_containment(spark, d):
     return verify.contained(read(spark, d, "documents").select("doc_id", "text"), values)
 
 
-@query(rf"""select doc_id, value, cast(count(*) as bigint) as n from (select conv_id as doc_id, text from conversations), (select distinct unnest(regexp_extract_all(text, '{EMAIL}')) as value from conversations) where contains(text, value) group by all""")
+@query("""select conv_id as doc_id, value, min(turn) as place, count(*) as n from conversations, (select distinct left(text, 9) as value from conversations where turn = 1 and length(text) > 0) where contains(text, value) group by all""")
 def verify_leftovers(spark, d):
     c = read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("place"), "text")
-    values = c.select(F.explode(patterns.hits(F.col("text"), fields("email")[0].pattern)).alias("h")).select(F.col("h.value").alias("value"))
-    return verify.leftovers(c, values).select("doc_id", "value", "n")
+    return verify.leftovers(c, c.filter("place = 1").select(F.left("text", F.lit(9)).alias("value")))
+
+
+@query("""select doc_id, value, cast(strpos(text, value) - 1 as int) as "at" from documents, (select distinct left(text, 12) as value from benchmark where length(text) > 0) where strpos(text, value) > 0""")
+def value_containment_by_grams(spark, d):
+    values = read(spark, d, "benchmark").select(F.left("text", F.lit(12)).alias("value")).filter("length(value) > 0").distinct()
+    return verify.by_grams(read(spark, d, "documents").select("doc_id", "text"), values, "doc_id", "text")
 
 
 def boxes(spark, d):
@@ -431,3 +436,123 @@ def splice_replacements(spark, d):
 def counts_in_windows(spark, d):
     phone = F.concat(F.lit("call 138"), F.lpad((F.col("user_id") % 100000000).cast("string"), 8, "0"))
     return counts_by_window(read(spark, d, "events").select("ts", phone.alias("text")), "ts", "1 hour", fields=fields("phone"))
+
+
+def layouts(spark, d):
+    """Customers as page models: a title, a paragraph of two lines, and a picture."""
+    c = read(spark, d, "customer")
+    text = lambda x: F.concat(F.lit('{"type": "text", "content": "'), x, F.lit('"}'))
+    line = lambda y, x: F.concat(F.lit(f'{{"bbox": [0, {y}, 100, {y + 10}], "spans": ['), text(x), F.lit("]}"))
+    phone = F.concat(F.lit("138"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))
+    made = F.concat(
+        F.lit('{"pdf_info": [{"page_idx": 2, "page_size": [90, 50], "para_blocks": [{"type": "title", "level": 1, "lines": ['), line(0, "c_name"),
+        F.lit(']}, {"type": "text", "bbox": [0, 10, 100, 30], "lines": ['), line(10, "c_mktsegment"), F.lit(", "), line(20, phone),
+        F.lit(']}, {"type": "image", "blocks": [{"image_path": "i/'), F.col("c_custkey").cast("string"), F.lit('.png"}]}]}]}'),
+    )
+    return layout.blocks(c.select(F.col("c_custkey").alias("doc_id"), made.alias("middle")), content_col=None)
+
+
+@query("""select c_custkey as doc_id, cast(o as int) as ord, ['title', 'paragraph', 'image'][o + 1] as type, [c_name, c_mktsegment || chr(10) || '138' || lpad(cast(c_custkey as varchar), 8, '0'), ''][o + 1] as text, cast(3 as int) as page
+  from customer, range(3) r(o)""")
+def layout_blocks(spark, d):
+    return layouts(spark, d).select("doc_id", "ord", "type", "text", "page")
+
+
+@query("""select c_custkey as doc_id, cast(2 as int) as page, cast(-1.0 as double) as x0, cast(90.0 as double) as x1, cast(19.0 as double) as y0, cast(31.0 as double) as y1 from customer""")
+def rect_plan(spark, d):
+    b = documents.placed(layouts(spark, d))
+    only = fields("phone")
+    found = b.filter("char_start >= 0").select("doc_id", "char_start", F.explode(detect.rule_spans(F.col("text"), only)).alias("s"))
+    spans = found.select("doc_id", (F.col("char_start") + F.col("s.start")).alias("start"), (F.col("char_start") + F.col("s.end")).alias("end"))
+    r = rects.plan(spans, b)
+    return r.select("doc_id", "page", (F.col("box.x0") - 1).alias("x0"), "box.x1", "box.y0", "box.y1")
+
+
+@query("""select c_custkey as doc_id, '/o/' || c_custkey || '.png' as path, c_custkey % 2 = 0 as named from customer""")
+def image_pairs(spark, d):
+    b = layouts(spark, d)
+    known = b.withColumn("image", F.when(F.col("doc_id") % 2 == 0, F.col("image")))
+    have = read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("/o/"), F.col("c_custkey").cast("string"), F.lit(".png")).alias("path"))
+    paired, rest = layout.pair_images(known, have)
+    return paired.filter("image_path is not null").select("doc_id", F.col("image_path").alias("path"), F.lit(True).alias("named")).unionByName(rest.select("doc_id", "path", F.lit(False).alias("named")))
+
+
+@query("""select o_custkey, arg_max(o_orderkey, (o_orderdate, lpad(cast(o_orderkey as varchar), 12, '0'))) as newest from orders group by 1""")
+def newest_file(spark, d):
+    o = read(spark, d, "orders").select("o_custkey", F.col("o_orderdate").alias("modificationTime"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("path"))
+    return files.newest(o, ["o_custkey"]).select("o_custkey", F.col("path").cast("long").alias("newest"))
+
+
+@query("""select rel, '/out/' || base || case when row_number() over (partition by base order by rel) > 1 then '-' || ext else '' end as job_dir from
+  (select 'd/' || cast(doc_id // 2 as varchar) as base, ['json', 'xlsx'][1 + doc_id % 2] as ext, 'd/' || cast(doc_id // 2 as varchar) || '.' || ['json', 'xlsx'][1 + doc_id % 2] as rel from documents)""")
+def job_dirs(spark, d):
+    ext = F.when(F.col("doc_id") % 2 == 0, "json").otherwise("xlsx")
+    rel = F.concat(F.lit("d/"), F.floor(F.col("doc_id") / 2).cast("string"), F.lit("."), ext)
+    return files.job_dirs(read(spark, d, "documents").select(rel.alias("rel")), "/out").select("rel", "job_dir")
+
+
+@query("""select doc_id as artifact, case when toxic is null then 'no audit beside the artifact' when quality = 0 then 'the audit is not valid JSON' when toxic = 1 then 'the run kept nothing to recover from' end as reason from documents left join (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by 1) using (doc_id)""")
+def recoverable(spark, d):
+    told = read(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    text = F.when(F.col("toxic").isNull(), None).when(F.col("quality") == 0, "{").when(F.col("toxic") == 1, "{}").otherwise('{"recovery": {"enabled": true}}')
+    both = read(spark, d, "documents").select("doc_id").join(told, "doc_id", "left")
+    return files.recoverable(both.select(F.col("doc_id").alias("artifact"), text.alias("audit")))
+
+
+@query("""select doc_id from documents where doc_id % 3 <> 0""")
+def finished_runs(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("rel"), F.concat(F.lit("j"), F.col("doc_id").cast("string")).alias("job_dir"))
+    written = docs.select("job_dir", F.when(F.col("rel") % 3 == 0, "other").otherwise("redacted.json").alias("name"))
+    return files.finished(docs.withColumn("names", F.array(F.lit("redacted.json"))), written).select(F.col("rel").alias("doc_id"))
+
+
+@query(rf"""select '{{"state":"complete","totals":{{"clean":' || count(*) filter (len(regexp_extract_all(text, '{EMAIL}')) = 0) || ',"masked":' || count(*) filter (len(regexp_extract_all(text, '{EMAIL}')) > 0) || '}}}}' as summary from documents""")
+def batch_summary(spark, d):
+    s = resolve.sanitize(read(spark, d, "documents"), fields=fields("email"))
+    return files.summary(s.select(F.when(F.size("spans") > 0, "masked").otherwise("clean").alias("status")))
+
+
+@query("""select c_custkey as doc_id, c_name as value, cast(base as int) + 4 as "start" from (select c_custkey, c_name, c_custkey % 50 as base from customer)""")
+def model_findings(spark, d):
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 50).cast("int").alias("base"), F.concat(F.lit("met "), "c_name", F.lit(" today")).alias("chunk"))
+    s = models.spans(models.ask(c, make_met, DEFAULTS), DEFAULTS)
+    return s.select("doc_id", F.col("span.value").alias("value"), F.col("span.start").alias("start"))
+
+
+def make_met():
+    """A model that names what stands between `met` and `today`."""
+    return lambda system, user: '{"findings": [{"field_type": "person_name", "value": "' + user.split("met ")[1].split(" today")[0] + '"}]}'
+
+
+@query()
+def mosaic_images(spark, d):
+    lines = read(spark, d, "lineitem").filter("l_linenumber = 1")
+    pixels = F.unhex(F.concat(*(F.sha2(F.concat_ws(":", "l_orderkey", F.lit(i)), 256) for i in range(8))))
+    box = F.struct(F.lit(0).alias("x0"), F.lit(0).alias("y0"), (F.col("l_partkey") % 20).cast("int").alias("x1"), F.lit(9).alias("y1"), F.lit("face").alias("label"), F.lit(1.0).alias("confidence"))
+    given = lines.select(F.col("l_orderkey").cast("string").alias("image"), F.lit(16).alias("height"), F.lit(16).alias("width"), F.lit(1).alias("channels"), pixels.alias("pixels"), F.array(box).alias("boxes"))
+    return images.mosaics(given, 4)
+
+
+@query("""select l_orderkey as image, 'phone' as field_type, cast(-1.0 as double) as x0, cast(111.0 as double) as x1 from lineitem where l_linenumber = 1""")
+def text_boxes(spark, d):
+    phone = F.concat(F.lit("138"), F.lpad((F.col("l_orderkey") % 100000000).cast("string"), 8, "0"))
+    box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(110.0).alias("x1"), F.lit(10.0).alias("y1"))
+    text = F.when(F.col("l_linenumber") == 1, phone).otherwise(F.col("l_returnflag"))
+    first = read(spark, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey")
+    lines = read(spark, d, "lineitem").join(first, "l_orderkey", "left_semi").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("line_no"), text.alias("text"), F.lit(0.9).alias("score"), box.alias("box"))
+    found = images.text_boxes(lines, fields("phone"), 0.5)
+    b = F.element_at("boxes", 1)
+    return found.select("image", "field_type", b["x0"].alias("x0"), b["x1"].alias("x1"))
+
+
+@query("select true as valid, count(*) as n from customer")
+def made_up_people(spark, d):
+    p = fixtures.people(spark, read(spark, d, "customer").count())
+    ok = checksums.id_valid(F.col("id_number")) & checksums.credit_valid(F.col("credit_code")) & F.rlike("phone", F.lit("^1[3-9][0-9]{9}$"))
+    return p.groupBy(ok.alias("valid")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select c_custkey as doc_id, place, text from (select c_custkey, '138' || lpad(cast(c_custkey as varchar), 8, '0') as phone from customer), lateral (values
+  ('$.n', cast(c_custkey as varchar)), ('$.list[0].phone', phone), ('$.text', 'a ' || phone || ' b'), ('$.num', phone), ('$.n', 'n'), ('$.list[0].phone', 'list'), ('$.list[0].phone', 'phone'), ('$.text', 'text'), ('$.num', 'num')) v(place, text)""")
+def json_units(spark, d):
+    return jsonleaves.units(json_customers(spark, d))

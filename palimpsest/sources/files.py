@@ -94,3 +94,9 @@ def recoverable(audits: DataFrame) -> DataFrame:
 def totals(statuses: DataFrame) -> DataFrame:
     """Runs by status."""
     return statuses.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def summary(statuses: DataFrame, state: str = "complete") -> DataFrame:
+    """One row of JSON: the state, and how many documents have each status."""
+    counts = totals(statuses).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("totals"))
+    return counts.select(F.to_json(F.struct(F.lit(state).alias("state"), "totals")).alias("summary"))

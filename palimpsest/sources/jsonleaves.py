@@ -85,6 +85,14 @@ def leaves(df: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> Dat
     return out.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
 
 
+def units(df: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:
+    """doc_id, place, text of every leaf and every key, to look for values that must be gone."""
+    found = leaves(df, id_col, json_col).filter("error is null")
+    named = found.select("doc_id", path_text(F.col("path")).alias("place"), "text", F.explode("path.key").alias("key"))
+    keys = named.filter("key is not null").groupBy("doc_id", F.col("key").alias("text")).agg(F.min("place").alias("place"))
+    return found.select("doc_id", path_text(F.col("path")).alias("place"), "text").unionByName(keys.select("doc_id", "place", "text"))
+
+
 def path_text(path: Column) -> Column:
     """$.users[3].phone"""
     return F.aggregate(path, F.lit("$"), lambda acc, p: F.concat(acc, F.when(p["idx"].isNull(), F.concat(F.lit("."), p["key"])).otherwise(F.concat(F.lit("["), p["idx"].cast("string"), F.lit("]")))))
