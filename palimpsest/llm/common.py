@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,3 +198,15 @@ def release(spark: SparkSession) -> None:
 def narrow(df: DataFrame) -> DataFrame:
     """df, whose rows hold no texts, in an eighth of the partitions that shuffles make (8 at least): fewer and larger files."""
     return df.coalesce(max(8, partitions(df.sparkSession) // 8))
+
+
+def publish(files: fs.FileSystem, part: str, path: str) -> None:
+    """Renames a finished file; where another attempt was first, its file, which has the same bytes, stays."""
+    if files.get_file_info(path).type == fs.FileType.NotFound:
+        try:
+            files.move(part, path)
+            return
+        except OSError:
+            if files.get_file_info(path).type == fs.FileType.NotFound:
+                raise
+    files.delete_file(part)

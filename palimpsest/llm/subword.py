@@ -47,7 +47,7 @@ class _Tokenizer:
     """Chunks through a cache. A word of letters alone is one pre-token, so the library's model takes it directly;
     marks after such a word are a pre-token of their own; all else takes the library's whole way."""
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 700_000):
         self.library = _library(path)
         self.model = self.library.model
         self.cache = common.PieceCache(self._encode, most)
@@ -109,7 +109,7 @@ class WordTokenizer(_Tokenizer):
 class ByteTokenizer(_Tokenizer):
     """For byte-level tokenizers: a space goes with the word after it, so texts are cut before single spaces and single line breaks."""
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 700_000):
         super().__init__(path, most)
         self.line = self._whole([b"\n"])[0]
 

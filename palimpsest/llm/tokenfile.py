@@ -63,7 +63,7 @@ class ShardWriter:
             self._put(np.append(self.rest, np.zeros(-n % SEQUENCE, self.kind)), n)
         self.out.close()
         self.sink.close()
-        self.files.move(self.part, self.path)
+        common.publish(self.files, self.part, self.path)
 
 
 class ShardReader:
