@@ -56,7 +56,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it goes when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/palimpsest-{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/palimpsest-{name}-{uuid.uuid4().hex}")
+    # With its scheme, so that Spark and Arrow mean the same file system by it.
+    path = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    path = "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
     if not _made:
         atexit.register(_clean)
     _made.append((spark, path))
