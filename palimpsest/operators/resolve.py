@@ -119,6 +119,12 @@ def sanitize(df: DataFrame, text_col: str = "text", fields: Iterable[Field] | No
     return found.withColumn("masked_text", splice(text, F.col("spans")))
 
 
+def masked_only(df: DataFrame, col: str = "spans") -> DataFrame:
+    """The rows with a span. A filter would be pushed below the projection that makes the spans and make them once more
+    for itself; a generator of one row or none is not."""
+    return df.withColumn(col, F.explode(F.filter(F.array(col), lambda s: F.size(s) > 0)))
+
+
 def best_of_equal(rows: DataFrame, key: list[str], score_col: str, order_col: str) -> DataFrame:
     """The row form of the first step: of rows that share the key, the best score, and of equal scores the first."""
     w = Window.partitionBy(*key).orderBy(F.desc(score_col), order_col)

@@ -104,7 +104,7 @@ def _texts(found: DataFrame, how: dict) -> tuple[DataFrame, DataFrame]:
 
 def _json(found: DataFrame, how: dict) -> tuple[DataFrame, DataFrame]:
     docs = found.filter("kind = '.json'").select(F.col("rel").alias("doc_id"), F.decode("content", "utf-8").alias("json"))
-    edits = resolve.sanitize(jsonleaves.leaves(docs).filter("error is null"), **how).filter(F.size("spans") > 0)
+    edits = resolve.masked_only(resolve.sanitize(jsonleaves.leaves(docs).filter("error is null"), **how))
     red = jsonleaves.redact(docs, edits).filter("json is not null")
     return red.select(F.col("doc_id").alias("rel"), F.lit("json").alias("kind"), F.encode("json", "utf-8").alias("content")), _spans(edits, jsonleaves.path_text(F.col("path")), F.col("path"))
 
@@ -112,7 +112,7 @@ def _json(found: DataFrame, how: dict) -> tuple[DataFrame, DataFrame]:
 def _books(found: DataFrame, how: dict) -> tuple[DataFrame, DataFrame]:
     docs = found.filter("kind = '.xlsx'").select("rel", "content")
     cells = workbook.cells(docs, "rel")
-    edits = resolve.sanitize(cells.filter("error is null"), **how).filter(F.size("spans") > 0)
+    edits = resolve.masked_only(resolve.sanitize(cells.filter("error is null"), **how))
     values = edits.select("doc_id", F.explode("spans.value").alias("value"))
     readable = docs.join(cells.filter("error is not null").select(F.col("doc_id").alias("rel")), "rel", "left_anti")
     red = workbook.redact(readable, edits, values, "rel")
