@@ -1,22 +1,27 @@
 """License notices in texts, by conditional compression and exact wording.
 
-A candidate block is a line with a word that notices use. Each template is a raw dictionary for zstandard;
-what it takes off the block's compressed size says how much of the template the block holds. The templates
-with the greatest reductions are then compared with the block word by word: a template is confirmed where its
-words, in order, are there but for a few, and the differences are reported.
-
-Defined results: null, empty and blank texts and texts without a candidate have no rows; equal blocks have
-the same result wherever they are; ties of the reduction go to the first template by name; rows that repeat
-repeat their rows; an empty table gives no rows; other columns of the input are not looked at.
+A text is one sequence of words, whatever its lines and comment marks, so wrapped notices are whole. A template of
+n words is confirmed wherever the words between two places of the text become the template's by at most DIFFER * n
+insertions and deletions, which are reported. Of k + 1 pieces of a template, one stands unchanged wherever there
+are at most k such differences: the pieces name the places to compare, and none is missed. Each template is also a raw dictionary
+for zstandard: what it takes off the compressed size of a notice is its reduction.
+
+Where confirmed notices overlap, that with the most words in place (less its differences) stays, then the most
+similar, then that of the greater reduction, then the first by name; all that do not overlap are reported.
+
+Defined results: null, empty and blank texts and texts without a notice have no rows; line is that of the first
+word; equal texts have the same result wherever they are; rows that repeat repeat their rows; an empty table gives
+no rows; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
 
-import functools
+import bisect
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -41,10 +46,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Proprietary": "All rights reserved.",
 }
-#: Words of notices, in lower case; a line with none of them is no candidate.
-SIGNS = ("licen", "rights reserved", "permission is", "redistribution", "public domain", "source code form", "copyright")
-#: Templates that are compared word by word with a block, and the share of a template's words that may differ.
-RANKED, DIFFER = 4, 0.2
+#: The share of a template's words that may differ.
+DIFFER = 0.2
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -59,58 +62,126 @@ class Scanner:
         self.texts = {n: (templates or TEMPLATES)[n] for n in self.names}
         self.wording = {n: [w for w, _, _ in words(t)] for n, t in self.texts.items()}
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
-        raw = zstandard.DICT_TYPE_RAWCONTENT
-        self.given = {n: zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=raw)) for n, t in self.texts.items()}
-        self.block = functools.lru_cache(maxsize=20_000)(self._block)
+        self.given = {n: self._given(t) for n, t in self.texts.items()}
+        #: Pieces by their longest word: name, place in the template, words, place of that word in the piece.
+        self.pieces: dict[str, list[tuple[str, int, list[str], int]]] = defaultdict(list)
+        for name, want in self.wording.items():
+            k = self.most(name)
+            cuts = [len(want) * i // (k + 1) for i in range(k + 2)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                piece = want[lo:hi]
+                at = max(range(hi - lo), key=lambda i: len(piece[i]))
+                self.pieces[piece[at]].append((name, lo, piece, at))
+        self.signs = sorted(self.pieces, key=len)
+        self.signs = [s for i, s in enumerate(self.signs) if not any(x in s for x in self.signs[:i])]
+
+    @staticmethod
+    def _given(text: str) -> zstandard.ZstdCompressor:
+        raw = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=raw)
+
+    def most(self, name: str) -> int:
+        """Differences that a template may have."""
+        return int(DIFFER * len(self.wording[name]))
+
+    def reduction(self, block: str, given: zstandard.ZstdCompressor) -> int:
+        """Bytes that a template takes off the block's compressed size."""
+        data = block.lower().encode()
+        return len(self.plain.compress(data)) - len(given.compress(data))
 
     def reductions(self, block: str) -> list[tuple[int, str]]:
-        """Bytes that each template takes off the block's compressed size, the greatest first."""
-        data = block.lower().encode()
-        alone = len(self.plain.compress(data))
-        return sorted(((alone - len(c.compress(data)), n) for n, c in self.given.items()), key=lambda x: (-x[0], x[1]))
+        """Those of all templates, the greatest first."""
+        return sorted(((self.reduction(block, c), n) for n, c in self.given.items()), key=lambda x: (-x[0], x[1]))
+
+    def places(self, name: str, have: list[str]) -> Iterator[tuple[int, int, int, str]]:
+        """First word, end, number and list of differences wherever the words have the template, from left to right."""
+        want, k = self.wording[name], self.most(name)
+        steps, number = np.arange(len(want) + 1), {w: i for i, w in enumerate(dict.fromkeys(want))}
+        template = np.array([number[w] for w in want])
+        start = 0
+        while start < len(have):
+            # Differences of each beginning of the template and the words that end here, wherever they begin.
+            costs, at, end, until = [steps], start, None, len(have)
+            while at < until:
+                before = costs[-1]
+                now = before + 1
+                now[0] = 0
+                if (c := number.get(have[at])) is not None:
+                    now[1:] = np.where(template == c, np.minimum(now[1:], before[:-1]), now[1:])
+                now = np.minimum.accumulate(now - steps) + steps
+                costs.append(now)
+                at += 1
+                if now[-1] <= k and (end is None or now[-1] < costs[end - start][-1]):
+                    # The best end of this place is at most 2 k words beyond its first.
+                    until = min(len(have), at + 2 * k) if end is None else until
+                    end = at
+            if end is None:
+                return
+            # Back through the costs: words in place, as pairs.
+            i, j, same = end, len(want), []
+            while j:
+                cost = costs[i - start]
+                if i > start and have[i - 1] == want[j - 1] and cost[j] == costs[i - start - 1][j - 1]:
+                    i, j = i - 1, j - 1
+                    same.append((i, j))
+                elif i > start and cost[j] == costs[i - start - 1][j] + 1:
+                    i -= 1
+                else:
+                    j -= 1
+            changes, a, b = [], i, 0
+            for to_a, to_b in [*same[::-1], (end, len(want))]:
+                changes += [f"-{w}" for w in want[b:to_b]] + [f"+{w}" for w in have[a:to_a]]
+                a, b = to_a + 1, to_b + 1
+            yield i, end, int(costs[end - start][-1]), " ".join(changes)
+            start = end
 
     def compare(self, name: str, found: list[tuple[str, int, int]]) -> tuple[float, int, int, str] | None:
-        """Share of the template's words in place, where the block has it, and the differing words; None if too few."""
-        want = self.wording[name]
-        have = [w for w, _, _ in found]
-        same = [b for b in SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks() if b.size]
-        if not same:
-            return None
-        lo, hi = same[0].a, same[-1].a + same[-1].size
-        matched = sum(b.size for b in same)
-        extra = hi - lo - matched
-        if len(want) - matched + extra > DIFFER * len(want):
-            return None
-        changes, a, b = [], lo, 0
-        for m in [*same, None]:
-            to_a, to_b = (m.a, m.b) if m else (hi, len(want))
-            changes += [f"-{w}" for w in want[b:to_b]] + [f"+{w}" for w in have[a:to_a]]
-            if m:
-                a, b = m.a + m.size, m.b + m.size
-        return 1 - (len(want) - matched + extra) / len(want), found[lo][1], found[hi - 1][2], " ".join(changes)
-
-    def _block(self, block: str) -> tuple | None:
-        """license, start, end, reduction, similarity, differences of the best confirmed template of a block."""
-        found = words(block)
-        ranked = [(r, n) for r, n in self.reductions(block)[:RANKED] if r > 0]
-        best = None
-        for reduction, name in ranked:
-            if (c := self.compare(name, found)) and (best is None or (c[0], reduction) > (best[4], best[3])):
-                best = (name, c[1], c[2], reduction, c[0], c[3])
-        return best
+        """Share of the template's words in place, where the words have it best, and the differing words; None if too few."""
+        best = min(self.places(name, [w for w, _, _ in found]), key=lambda p: p[2], default=None)
+        return best and (1 - best[2] / len(self.wording[name]), found[best[0]][1], found[best[1] - 1][2], best[3])
+
+    def near(self, have: list[str]) -> dict[str, list[list[int]]]:
+        """By template, the ranges of words around its pieces; every place of the template is within one."""
+        out: dict[str, list[list[int]]] = {}
+        for at, w in enumerate(have):
+            for name, place, piece, i in self.pieces.get(w, ()):
+                p = at - i
+                if p >= 0 and have[p : p + len(piece)] == piece:
+                    k = self.most(name)
+                    out.setdefault(name, []).append([max(0, p - place - k), min(len(have), p - place + len(self.wording[name]) + k)])
+        for name, ranges in out.items():
+            ranges.sort()
+            joined = ranges[:1]
+            for r in ranges[1:]:
+                if r[0] <= joined[-1][1]:
+                    joined[-1][1] = max(joined[-1][1], r[1])
+                else:
+                    joined.append(r)
+            out[name] = joined
+        return out
 
     def scan(self, text: str) -> Iterator[tuple]:
         """line, start and end in the text, license, reduction, similarity, differences."""
         low = text.lower()
-        if not any(s in low for s in SIGNS):
-            return
-        at = 0
-        for k, line in enumerate(text.split("\n")):
-            low = line.lower()
-            if any(s in low for s in SIGNS) and (hit := self.block(line)):
-                name, lo, hi, reduction, similarity, changes = hit
-                yield k, at + lo, at + hi, name, reduction, similarity, changes
-            at += len(line) + 1
+        hits = []
+        if any(s in low for s in self.signs):
+            found = words(text)
+            have = [w for w, _, _ in found]
+            for name, ranges in self.near(have).items():
+                n = len(self.wording[name])
+                for lo, hi in ranges:
+                    for a, b, cost, changes in self.places(name, have[lo:hi]):
+                        start, end = found[lo + a][1], found[lo + b - 1][2]
+                        hits.append((cost - n, cost / n, -self.reduction(text[start:end], self.given[name]), name, start, end, changes))
+        taken: list[tuple] = []
+        for hit in sorted(hits):
+            i = bisect.bisect(taken, hit[4], key=lambda h: h[4])
+            if (not i or taken[i - 1][5] <= hit[4]) and (i == len(taken) or hit[5] <= taken[i][4]):
+                taken.insert(i, hit)
+        line = at = 0
+        for _, differ, reduction, name, start, end, changes in taken:
+            line, at = line + text.count("\n", at, start), start
+            yield line, start, end, name, -reduction, 1 - differ, changes
 
 
 def scan(df: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

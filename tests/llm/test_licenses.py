@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -59,3 +60,41 @@ def test_odd_rows_and_empty_table(spark, odd, empty):
     assert licenses.scan(empty).collect() == []
     row = (None, "All rights reserved.\n" * 2 + "x" * 100_000, None)
     assert [(r.doc_id, r.line, r.start) for r in licenses.scan(frame(spark, [row, row])).collect()] == [(None, 0, 0), (None, 1, 21)] * 2
+
+
+def found(text):
+    return [(h[0], h[3], h[6]) for h in licenses.Scanner().scan(text)]
+
+
+def test_all_notices_of_a_long_line():
+    assert found("Licensed under the Apache License, Version 2.0. All rights reserved.") == [(0, "Apache-2.0", ""), (0, "Proprietary", "")]
+    filler = "the quick brown fox may use this software under other terms of the house " * 40
+    names = sorted(n for n in licenses.TEMPLATES)
+    text = filler + filler.join(licenses.TEMPLATES[n] + " " for n in names) + filler
+    assert found(text) == [(0, n, "") for n in names]
+
+
+def test_no_place_is_missed():
+    """Against the least number of insertions and deletions of every stretch of words."""
+    rnd = random.Random(3)
+    scanner = licenses.Scanner()
+
+    def differences(a, b):
+        row = [*range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(last[j - 1] if x == y else 1 + min(last[j], row[j - 1]))
+        return row[-1]
+
+    for _ in range(60):
+        name = rnd.choice([n for n in scanner.names if len(scanner.wording[n]) < 15])
+        want = scanner.wording[name]
+        have = [rnd.choice(want) for _ in range(rnd.randint(0, 8))]
+        for w in want:
+            have += [] if rnd.random() < 0.12 else [w, "odd"] if rnd.random() < 0.08 else [w]
+        have += [rnd.choice(want) for _ in range(rnd.randint(0, 8))]
+        least = min(differences(have[i:j], want) for i in range(len(have)) for j in range(i, len(have) + 1)) if have else len(want)
+        got = [p[2] for lo, hi in scanner.near(have).get(name, []) for p in scanner.places(name, have[lo:hi])]
+        assert bool(got) == (least <= scanner.most(name))
+        assert not got or least <= min(got)
