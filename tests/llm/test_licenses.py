@@ -1,4 +1,5 @@
 import random
+import textwrap
 from collections import Counter
 
 import pytest
@@ -62,6 +63,10 @@ def test_odd_rows_and_empty_table(spark, odd, empty):
     assert [(r.doc_id, r.line, r.start) for r in licenses.scan(frame(spark, [row, row])).collect()] == [(None, 0, 0), (None, 1, 21)] * 2
 
 
+MIT = licenses.TEMPLATES["MIT-full"]
+GPL = licenses.TEMPLATES["GPL-3.0-or-later"]
+
+
 def found(text):
     return [(h[0], h[3], h[6]) for h in licenses.Scanner().scan(text)]
 
@@ -74,6 +79,20 @@ def test_all_notices_of_a_long_line():
     assert found(text) == [(0, n, "") for n in names]
 
 
+def test_wrapped_notices():
+    def wrapped(text, mark):
+        return "\n".join(mark + x for x in textwrap.wrap(text, 60))
+
+    text = f"{wrapped(MIT, ' * ')}\n\nint x;\n{wrapped(GPL, '# ')}\n"
+    assert [x[1:] for x in found(text)] == [("MIT-full", ""), ("GPL-3.0-or-later", "")]
+    assert found("a\n" + wrapped(licenses.TEMPLATES["MIT-text"], "// ").replace("hereby ", "")) == [(1, "MIT-text", "-hereby")]
+
+
+def test_tags():
+    assert found("// SPDX-License-Identifier: MIT OR (Apache-2.0 AND BSD-3-Clause)\nx") == [(0, "MIT OR (Apache-2.0 AND BSD-3-Clause)", "")]
+    assert found("a\n(SPDX-License-Identifier: GPL-2.0+). b") == [(1, "GPL-2.0+", "")]
+
+
 def test_no_place_is_missed():
     """Against the least number of insertions and deletions of every stretch of words."""
     rnd = random.Random(3)
