@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import heapq
 import unicodedata
 from collections.abc import Iterator
@@ -24,7 +25,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from palimpsest.llm import common
 
@@ -158,6 +158,7 @@ class Vocabulary:
         self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.at = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.digits = [b"%d" % i for i in range(top)]
         self.cache = common.PieceCache(lambda pieces: [self.merge(p) for p in pieces])
 
     def merge(self, piece: bytes) -> list[int]:
@@ -214,10 +215,21 @@ class Vocabulary:
         base = np.concatenate([[0], until])[np.cumsum(each) - each]
         return ids, each, until - np.repeat(base, each)
 
-    def decode(self, ids: np.ndarray, until: np.ndarray) -> np.ndarray:
-        """The bytes of all tokens; until says where each token's bytes end, so each is put in its own place."""
+    def decode(self, ids: np.ndarray, each: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all texts and the number of bytes of each. until: the byte of its text at which each token ends.
+
+        Every token's bytes go to the place its offset names, so tokens may come in any order within their text.
+        """
         sizes = self.sizes[ids]
-        return self.bytes[common.csr(sizes, self.at[ids])]
+        last = np.zeros(len(each), np.int64)
+        some = each > 0
+        if len(until):
+            last[some] = np.maximum.reduceat(until, (np.cumsum(each) - each)[some])
+        if not np.array_equal(common.sums(sizes, each), last):
+            raise ValueError("the ids do not fit their offsets")
+        out = np.zeros(int(last.sum()), np.uint8)
+        out[common.csr(sizes, np.repeat(np.cumsum(last) - last, each) + until - sizes)] = self.bytes[common.csr(sizes, self.at[ids])]
+        return out, last
 
 
 @functools.lru_cache(maxsize=4)
@@ -241,6 +253,12 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, ends array<int>")
 
 
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+
+
 def decode(df: DataFrame, path: str) -> DataFrame:
     """The rows of encode() with bytes: what their ids stand for, put where ends says."""
     kind = df.schema["doc_id"].dataType.simpleString()
@@ -249,27 +267,34 @@ def decode(df: DataFrame, path: str) -> DataFrame:
         vocab = vocabulary(path)
         for batch in it:
             column, ends = batch.column("ids"), batch.column("ends")
-            ids = column.flatten().to_numpy(zero_copy_only=False)
-            until = ends.flatten().to_numpy(zero_copy_only=False)
-            each = np.asarray(column.value_lengths().fill_null(0))
-            data = vocab.decode(ids, until).tobytes()
-            last = np.cumsum(each)
-            sizes = np.where(each > 0, np.concatenate([[0], until])[last], 0)
-            if len(data) != sizes.sum():
-                raise ValueError("the ids do not fit their offsets")
-            offsets = np.zeros(len(each) + 1, np.int32)
-            np.cumsum(sizes, out=offsets[1:])
-            out = pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, ends, out], names=["doc_id", "ids", "ends", "bytes"])
+            ids, until = (c.flatten().to_numpy(zero_copy_only=False) for c in (column, ends))
+            made = vocab.decode(ids, np.asarray(column.value_lengths().fill_null(0)), until)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, ends, _binary(*made)], names=["doc_id", "ids", "ends", "bytes"])
 
     return df.select("doc_id", "ids", "ends").mapInArrow(run, f"doc_id {kind}, ids array<int>, ends array<int>, bytes binary")
 
 
-def digests(df: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of the encoded and decoded texts."""
-    return decode(encode(df, path), path).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"),
-    )
+def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of the encoded and decoded texts.
+
+    encode() and decode() of a batch one after the other in one pass, of which only the digests leave the worker.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
+        for batch, values in common.batches(it):
+            ids, each, until = vocab.encode(values)
+            data, sizes = vocab.decode(ids, each, until)
+            whole, at, to = data.tobytes(), (np.cumsum(sizes) - sizes).tolist(), np.cumsum(sizes).tolist()
+            texts = list(map(vocab.digits.__getitem__, ids.tolist()))
+            first, end = (np.cumsum(each) - each).tolist(), np.cumsum(each).tolist()
+            columns = [
+                pa.array(each, pa.int64()),
+                pa.array([hashlib.sha256(b",".join(texts[a:b])).hexdigest() for a, b in zip(first, end)], pa.string()),
+                pa.array([hashlib.sha256(whole[a:b]).hexdigest() for a, b in zip(at, to)], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    docs = common.texts(df, id_col, text_col)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -57,5 +57,15 @@ def test_offsets_cut_the_text(odd):
         assert r.ends == sorted(r.ends)
 
 
+def test_decoding_goes_by_the_offsets():
+    v = bpe.vocabulary(PATH)
+    made = ["one two  three", "", "\U0001f600 été", "x" * 300]
+    ids, each, until = v.encode(made)
+    order = [j for lo, n in zip((each.cumsum() - each).tolist(), each.tolist()) for j in random.Random(1).sample(range(lo, lo + n), n)]
+    for o in (list(range(len(ids))), order):
+        data, sizes = v.decode(ids[o], each, until[o])
+        assert data.tobytes() == "".join(made).encode() and sizes.tolist() == [len(t.encode()) for t in made]
+
+
 def test_empty_table(empty):
     assert bpe.digests(empty, PATH).collect() == []
