@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from palimpsest.llm import common, subword, tokenfile
@@ -10,9 +12,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 def library(path=PATH):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def crc(ids):
@@ -56,6 +56,21 @@ def test_empty_table(empty):
 def test_chunks_give_the_ids_of_whole_texts():
     for kind, name in (("word", "word_bpe_49k.json"), ("byte", "byte_bpe_50k.json")):
         path = public_tokenizers.path(name)
-        made = ["a  b", " a", "a ", "a\n b", "a\n  b c", "x y z", "it's 's", "a　 b", "\x1c a\x1cb", "e ́e", "<|endoftext|> a", "\n\na b\n"]
+        made = ["a  b", " a", "a ", "a\n b", "a\n  b c", "x y z", "it's 's", "a　 b", "\x1c a\x1cb", "e ́e", "<|endoftext|> a", "\n\na b\n"]
+        made += ["see (above) here", "see (above), and then", "a - b", "a -, b"]
         ids, each = subword.tokenizer(kind, path).encode(made)
         assert ids.tolist() == [i for t in made for i in library(path).encode(t, add_special_tokens=False).ids]
+
+
+SIGNS = [*"abcdeT  \n.,;:!?()-\"'*&19é世́Σ\t 　", "the", "And", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " .", "\x1c", "\x85", "st", " ß", "ﬁ"]
+
+
+@pytest.mark.parametrize("specials", [True, False])
+@pytest.mark.parametrize("kind, name", [("word", "word_bpe_49k.json"), ("byte", "byte_bpe_50k.json")])
+def test_one_warm_tokenizer_on_random_punctuation(kind, name, specials):
+    path, rnd = public_tokenizers.path(name), random.Random(5)
+    plain, own = library(path), subword.tokenizer(kind, path, specials)
+    plain.encode_special_tokens = not specials
+    for _ in range(20_000):
+        text = "".join(rnd.choices(SIGNS, k=rnd.randint(0, 30)))
+        assert own.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids, text
