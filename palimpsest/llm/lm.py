@@ -1,43 +1,49 @@
 """Language-model scores by a weighted backoff automaton over words.
 
-States are the empty context and every word (and the start) that the training texts hold. From a word's
-state, an arc for each word seen after it carries the smoothed log-probability, and a failure arc carries the
-backoff weight to the empty context, whose arcs are the smoothed word frequencies (all unseen words share
-one arc). A text is one walk from the start's state to the end token: each token takes its arc, after the
-failure arc where it has none, and moves to its own state.
-
-With c counts in training, Z = N + (V + 1) / 2 and u(h) = 9 c(h)^0.7:
-    p(w) = (c(w) + 1/2) / Z,   p(w|h) = (c(hw) + u(h) p(w)) / (c(h) + u(h)),   failure weight u(h) / (c(h) + u(h)).
-
-Counts cover all training texts and are never on one machine: documents are dealt into blocks, each block
-asks for the counts of its own distinct words and pairs and adds what its training texts hold; the requests
-are dealt by ranges of hashed keys, summed, and answered to each block in the order it asked. However
-frequent a word is, a block asks for it once. Words are told apart by 64-bit hashes, pairs by 48 bits.
+States are the contexts that the training texts hold: the empty one, each word (and the start), and each pair of
+words in a row. From a state, an arc for each word seen after its context carries the smoothed log-probability and
+leads to the longest context that ends there; a failure arc carries the backoff weight to the context without its
+first word. The empty state has an arc for every word; all unseen words share its weight. A text is one walk from
+the start's state to the end token: where the state has no arc for the token, failure arcs are taken until one has,
+their weights are added up, and the state where the token's arc leads is carried on.
+
+With c counts in training, Z = N + (V + 1) / 2, h a context, h' the context without its first word:
+    p(w) = (c(w) + 1/2) / Z,   p(w|h) = (c(hw) + u(h) p(w|h')) / (c(h) + u(h)),   failure weight u(h) / (c(h) + u(h)),
+    u(h) = SCALE * c(h) ** POWER, each by the length of h.
+
+Counts cover all training texts and are never on one machine: rows are dealt into blocks of about BLOCK_BYTES of
+text, whatever their doc_id; each block asks for the counts of its own distinct words, pairs and triples and adds
+what its training texts hold; the requests are dealt by ranges of hashed keys (a range for each block), summed, and
+answered to each block in the order it asked. However frequent a word is, a block asks for it once, so a task's
+work has a bound that doesn't grow with the table. Words, pairs and triples are told apart by 64-bit hashes.
 
 Defined results: null and empty texts are the end token alone; repeated rows count as often as they come;
 a null doc_id is in fold 0; without any training text every token is unknown; an empty table gives no
-rows; other columns of the input are not looked at.
+rows; a text longer than a block is a block's whole work; other columns of the input are not looked at. The input is
+read twice and has to give the same rows both times (a scan or a table does): a block whose keys differ is an error.
 """
 
 from __future__ import annotations
 
 import functools
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import common
 
 START, END = np.uint64(1), np.uint64(2)
-#: Bits of the keys of words and of pairs.
-BITS = {1: 64, 2: 48}
-#: Backoff mass: SCALE * c(h) ** POWER.
-SCALE, POWER = 9.0, 0.7
-#: Blocks for each shuffle partition; a block's texts and keys are in one task's memory.
-BLOCKS = 2
+#: Tokens in the longest n-gram.
+ORDER = 3
+#: Backoff mass of a context by its length: SCALE * c(h) ** POWER.
+SCALE, POWER = {1: 20.0, 2: 4.0}, {1: 0.7, 2: 0.5}
+#: Bytes of text in a block, about.
+BLOCK_BYTES = 6_000_000
 
 
 class Words:
@@ -83,161 +89,221 @@ def tokens(texts: list[str], words: Words | None = None, limit: int = common.BAT
     return (np.concatenate(parts), np.concatenate(sizes)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def contexts(keys: np.ndarray, each: np.ndarray) -> np.ndarray:
-    """The token before each token, START for the first of a text."""
-    out = np.empty_like(keys)
-    out[1:] = keys[:-1]
-    out[np.cumsum(each) - each] = START
-    return out
-
-
-def pairs(before: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    x = before * np.uint64(0x9E3779B97F4A7C15) + keys
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of what a and b stand for in a row."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return (x ^ (x >> np.uint64(31))) >> np.uint64(16)
+    return x ^ (x >> np.uint64(31))
+
 
+class Grams:
+    """The distinct words, pairs and triples of a block's texts in order of their keys, and which each token ends.
 
-def _pack(keys: np.ndarray, bits: int) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : bits // 8]).tobytes()
+    words has START besides. Of a text's first token, the triple is none (0 in `which`).
+    """
 
+    def __init__(self, keys: np.ndarray, each: np.ndarray):
+        self.each, self.starts = each, np.cumsum(each) - each
+        before = np.concatenate([[START], keys[:-1]]) if len(keys) else keys
+        before[self.starts] = START
+        pair = mixed(before, keys)
+        first = np.zeros(len(keys), bool)
+        first[self.starts] = True
+        words, which = np.unique(np.append(keys, START), return_inverse=True)
+        self.start = int(which[-1])
+        pairs, which_pair = np.unique(pair, return_inverse=True)
+        inner = np.flatnonzero(~first)
+        triples, which_inner = np.unique(mixed(pair[inner - 1], keys[inner]), return_inverse=True)
+        which_triple = np.zeros(len(keys), np.int64)
+        which_triple[inner] = which_inner
+        self.distinct, self.which, self.first = (words, pairs, triples), (which[:-1], which_pair, which_triple), first
 
-def _unpack(data: bytes, bits: int) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, bits // 8)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, : bits // 8] = raw
-    return out.view("<u8").reshape(-1)
+    def counts(self, trains: np.ndarray) -> list[np.ndarray]:
+        """How often each n-gram ends in the texts that train; of START, how many these are."""
+        use = np.repeat(trains, self.each)
+        out = []
+        for k, (distinct, which) in enumerate(zip(self.distinct, self.which)):
+            out.append(np.bincount(which[use & ~self.first] if k == 2 else which[use], minlength=len(distinct)))
+        out[0][self.start] = trains.sum()
+        return out
 
+    def slices(self, buckets: int) -> list[list[int]]:
+        """Where each bucket's keys begin and end among the distinct ones, by order."""
+        edges = np.array([-(-(k << 64) // buckets) for k in range(1, buckets)], np.uint64)
+        return [[0, *np.searchsorted(d, edges).tolist(), len(d)] for d in self.distinct]
 
-def _asked(keys: np.ndarray, each: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For words and pairs: the distinct keys, which is what a block asks for, and which of them each token is.
 
-    The words' have START besides, as the last of the tokens.
-    """
-    both = pairs(contexts(keys, each), keys)
-    return {1: np.unique(np.append(keys, START), return_inverse=True), 2: np.unique(both, return_inverse=True)}
+def _pack(parts: list[np.ndarray], kind: str) -> bytes:
+    """Arrays, compressed with like bytes of their values together."""
+    flat = np.concatenate(parts).astype(kind)
+    planes = np.ascontiguousarray(flat.view(np.uint8).reshape(len(flat), -1).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpack(data: bytes, sizes: list[int], kind: str) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    flat = np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+    return np.split(flat, np.cumsum(sizes)[:-1])
+
 
+def _gaps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.uint64(0))
 
-def _edges(buckets: int, bits: int) -> np.ndarray:
-    return np.array([-(-(k << bits) // buckets) for k in range(1, buckets)], np.uint64)
+
+REQUESTS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("sizes", pa.list_(pa.int32())), ("gaps", pa.binary()), ("counts", pa.binary())])
+ANSWERS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("sizes", pa.list_(pa.int32())), ("check", pa.int64()), ("counts", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())])
+
+
+def _check(keys: list[np.ndarray]) -> int:
+    return functools.reduce(lambda c, k: zlib.crc32(k.tobytes(), c), keys, 0)
 
 
 def requests(docs: DataFrame, buckets: int) -> DataFrame:
-    """block, ord, bucket, keys, counts: what each block asks for, with the counts of its training texts (column trains)."""
+    """block, bucket, sizes (by order), gaps of the keys, counts: what each block asks for, with what its training texts hold."""
 
     def run(group: pa.Table) -> pa.Table:
         block = group.column("block")[0].as_py()
-        keys, each = tokens(group.column("text").to_pylist())
-        trains = group.column("trains").to_numpy()
-        use = np.repeat(trains, each)
-        out: dict[str, list] = {"block": [], "ord": [], "bucket": [], "keys": [], "counts": []}
-        for order, (distinct, which) in _asked(keys, each).items():
-            seen = np.bincount(which[: len(use)][use], minlength=len(distinct))
-            if order == 1:
-                seen[which[-1]] = trains.sum()
-            cuts = [0, *np.searchsorted(distinct, _edges(buckets, BITS[order])).tolist(), len(distinct)]
-            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if a < b:
-                    for name, value in zip(out, (block, order, k, _pack(distinct[a:b], BITS[order]), seen[a:b].astype("<u4").tobytes())):
-                        out[name].append(value)
-        return pa.table(out, schema=pa.schema([("block", pa.int32()), ("ord", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
-
-    return docs.groupBy("block").applyInArrow(run, "block int, ord int, bucket int, keys binary, counts binary")
+        grams = Grams(*tokens(group.column("text").to_pylist()))
+        seen = grams.counts(group.column("trains").to_numpy())
+        rows = []
+        for k, edges in enumerate(zip(*(zip(c, c[1:]) for c in grams.slices(buckets)))):
+            if sizes := [b - a for a, b in edges]:
+                gaps = _pack([_gaps(d[a:b]) for d, (a, b) in zip(grams.distinct, edges)], "<u8")
+                rows.append((block, k, sizes, gaps, _pack([c[a:b] for c, (a, b) in zip(seen, edges)], "<u4")))
+        return pa.table([*zip(*rows)], schema=REQUESTS)
+
+    return docs.groupBy("block").applyInArrow(run, "block int, bucket int, sizes array<int>, gaps binary, counts binary")
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """block, ord, bucket, counts: the sums over all blocks, in the order each block asked.
+    """block, bucket, sizes, check, counts: the sums over all blocks, in the order each block asked.
 
     Block -1 has, of each bucket of words, the number of training tokens and of distinct ones.
     """
 
     def run(group: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"block": [], "ord": [], "bucket": [], "counts": [], "tokens": [], "types": []}
-        orders = np.asarray(group.column("ord"))
-        for order in np.unique(orders).tolist():
-            part = group.filter(pa.array(orders == order))
-            bucket = part.column("bucket")[0].as_py()
-            keys = [_unpack(k, BITS[order]) for k in part.column("keys").to_pylist()]
-            distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-            own = np.concatenate([np.frombuffer(c, "<u4") for c in part.column("counts").to_pylist()])
-            total = np.bincount(where, weights=own, minlength=len(distinct)).astype(np.int64)
-            replies, at = total[where].astype("<u4"), 0
-            for block, k in zip(part.column("block").to_pylist(), keys, strict=True):
-                for name, value in zip(out, (block, order, bucket, replies[at : at + len(k)].tobytes(), 0, 0)):
-                    out[name].append(value)
-                at += len(k)
-            if order == 1:
-                words = total[distinct != START]
-                for name, value in zip(out, (-1, order, bucket, b"", int(words.sum()), int((words > 0).sum()))):
-                    out[name].append(value)
-        return pa.table(out, schema=pa.schema([("block", pa.int32()), ("ord", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())]))
-
-    return asked.groupBy("bucket").applyInArrow(run, "block int, ord int, bucket int, counts binary, tokens long, types long")
+        blocks, sizes = group.column("block").to_pylist(), group.column("sizes").to_pylist()
+        bucket = group.column("bucket")[0].as_py()
+        keys = [[np.cumsum(g, dtype=np.uint64) for g in _unpack(d, n, "<u8")] for d, n in zip(group.column("gaps").to_pylist(), sizes)]
+        seen = [_unpack(d, n, "<u4") for d, n in zip(group.column("counts").to_pylist(), sizes)]
+        replies: list[list[np.ndarray]] = [[] for _ in blocks]
+        total = types = 0
+        for order in range(ORDER):
+            distinct, where = np.unique(np.concatenate([k[order] for k in keys]), return_inverse=True)
+            sums = np.bincount(where, weights=np.concatenate([c[order] for c in seen]), minlength=len(distinct)).astype(np.int64)
+            for reply, part in zip(replies, np.split(sums[where], np.cumsum([n[order] for n in sizes])[:-1])):
+                reply.append(part)
+            if order == 0:
+                words = sums[distinct != START]
+                total, types = int(words.sum()), int((words > 0).sum())
+        rows = [(b, bucket, n, _check(k), _pack(r, "<i8"), 0, 0) for b, n, k, r in zip(blocks, sizes, keys, replies)]
+        rows.append((-1, bucket, [], 0, b"", total, types))
+        return pa.table([*zip(*rows)], schema=ANSWERS)
+
+    return asked.groupBy("bucket").applyInArrow(run, "block int, bucket int, sizes array<int>, check long, counts binary, tokens long, types long")
 
 
 class Automaton:
-    """The part of the automaton that a block's texts walk through, by its counts."""
-
-    def __init__(self, total: int, types: int):
-        self.norm = total + 0.5 * (types + 1)
-
-    def base(self, c: np.ndarray) -> np.ndarray:
-        """Log10 weights of the empty context's arcs."""
-        return np.log10((c + 0.5) / self.norm)
-
-    def walk(self, c: np.ndarray, state: np.ndarray, arc: np.ndarray) -> np.ndarray:
-        """The log10 weight of each step. c: counts of the tokens; state: of the words whose states they leave; arc: of the pairs.
-
-        A state without a count is the empty context; a step without an arc takes the failure arc first.
-        """
-        mass = SCALE * np.maximum(state, 1) ** POWER
-        failure = np.log10(mass / (state + mass))
-        smoothed = np.log10((arc + mass * 10.0 ** self.base(c)) / (state + mass))
-        return np.where(state == 0, self.base(c), np.where(arc == 0, failure + self.base(c), smoothed))
+    """The states and arcs that a block's texts can meet.
 
+    States: 0 is the empty context, then the block's words, then its pairs. Arcs are numbered likewise: words (from the
+    empty state), pairs, triples. A state or arc whose n-gram no training text has is not there: `known` says so.
+    """
 
-def score(df: DataFrame, trains: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def __init__(self, grams: Grams, counts: list[np.ndarray], total: int, types: int):
+        (word, pair, triple), n = grams.which, [len(d) for d in grams.distinct]
+        norm = total + 0.5 * (types + 1)
+        c1, c2, c3 = (c.astype(np.float64) for c in counts)
+        before = np.append(0, word[:-1]) if len(word) else word
+        before[grams.starts] = grams.start
+        inner = np.flatnonzero(~grams.first)
+        # What each pair and triple is made of, by any of the tokens that end them.
+        pair_word, pair_before, triple_pair, triple_before = (np.zeros(m, np.int64) for m in (n[1], n[1], n[2], n[2]))
+        pair_word[pair], pair_before[pair] = word, before
+        triple_pair[triple[inner]], triple_before[triple[inner]] = pair[inner], pair[inner - 1]
+        # By smoothed probabilities up the orders: that of an arc, and the weight of its state's failure arc.
+        p1 = (c1 + 0.5) / norm
+        u1, u2 = (SCALE[k] * np.maximum(c, 1) ** POWER[k] for k, c in ((1, c1), (2, c2)))
+        p2 = (c2 + u1[pair_before] * p1[pair_word]) / (c1[pair_before] + u1[pair_before])
+        # A context that is not known leaves the shorter one's probability.
+        p2 = np.where(c1[pair_before] > 0, p2, p1[pair_word])
+        p3 = (c3 + u2[triple_before] * p2[triple_pair]) / (c2[triple_before] + u2[triple_before])
+        self.base = np.log10(p1)
+        self.weight = np.log10(np.concatenate([p1, p2, p3]))
+        self.known = np.concatenate([np.ones(n[0], bool), c2 > 0, c3 > 0])
+        self.arcs = np.stack([word, n[0] + pair, n[0] + n[1] + triple])
+        self.level = np.repeat([0, 1, 2], [1, n[0], n[1]])
+        self.failure = np.log10(np.concatenate([[1.0], u1 / (c1 + u1), u2 / (c2 + u2)]))
+        self.shorter = np.concatenate([np.zeros(1 + n[0], np.int64), 1 + pair_word])
+        # An arc leads to the longest known context at its end.
+        state1 = np.where(c1 > 0, 1 + np.arange(n[0]), 0)
+        state2 = np.where(c2 > 0, 1 + n[0] + np.arange(n[1]), state1[pair_word])
+        self.to = np.concatenate([state1, state2, state2[triple_pair]])
+        self.start = int(state1[grams.start])
+
+    def walk(self, starts: np.ndarray, each: np.ndarray) -> np.ndarray:
+        """Log10 weight of each text's walk. All texts take a step at a time, each from the state that it carries."""
+        by = np.argsort(-each, kind="stable")
+        starts, left = starts[by], each[by]
+        state, total = np.full(len(by), self.start), np.zeros(len(by))
+        active = np.searchsorted(-left, -np.arange(int(left.max(initial=0))), side="left").tolist()
+        for step, n in enumerate(active):
+            at, now = starts[:n] + step, state[:n]
+            while True:
+                arc = self.arcs[self.level[now], at]
+                if len(stuck := np.flatnonzero(~self.known[arc])) == 0:
+                    break
+                total[stuck] += self.failure[now[stuck]]
+                now[stuck] = self.shorter[now[stuck]]
+            total[:n] += self.weight[arc]
+            state[:n] = self.to[arc]
+        out = np.empty(len(by))
+        out[by] = total
+        return out
+
+
+def score(df: DataFrame, trains: Column | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; trains says which rows are learnt from (default: all)."""
     spark = df.sparkSession
-    parts = common.partitions(spark)
-    block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(parts * BLOCKS)).cast("int").alias("block")
     trains = F.lit(True) if trains is None else trains
-    docs = common.texts(df, id_col, text_col, F.coalesce(trains, F.lit(False)).alias("trains"), block)
-    replies = common.table(answers(requests(docs, parts)), "counts")
-    total = replies.filter("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
-    n, v = int(total["n"]), int(total["v"])
+    docs = common.texts(df, id_col, text_col, F.coalesce(trains, F.lit(False)).alias("trains"))
+    size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    # By the row's number too, so that no doc_id or text, however often repeated, is a block of its own.
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    replies = common.table(answers(requests(docs, blocks)), "counts")
+    told = replies.filter("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
+    n, v = int(told["n"]), int(told["v"])
     common.release(spark)
 
     def run(group: pa.Table, told: pa.Table) -> pa.Table:
-        keys, each = tokens(group.column("text").to_pylist())
-        counts = {}
-        told = told.sort_by([("ord", "ascending"), ("bucket", "ascending")])
-        orders = np.asarray(told.column("ord"))
-        starts = np.cumsum(each) - each
-        for order, (distinct, which) in _asked(keys, each).items():
-            got = np.frombuffer(b"".join(told.filter(pa.array(orders == order)).column("counts").to_pylist()), "<u4").astype(np.float64)
-            if len(got) != len(distinct):
+        grams = Grams(*tokens(group.column("text").to_pylist()))
+        counts: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
+        cuts = grams.slices(blocks)
+        for row in told.sort_by("bucket").to_pylist():
+            k = row["bucket"]
+            if row["check"] != _check([d[c[k] : c[k + 1]] for d, c in zip(grams.distinct, cuts)]):
                 raise ValueError("the answers are not those to this block's requests")
-            counts[order] = got[which[: len(keys)]]
-            if order == 1:  # of the token before each
-                counts[0] = np.append(0.0, counts[1][:-1])
-                counts[0][starts] = got[which[-1]]
-        model = Automaton(n, v)
-        each_sum = lambda x: np.add.reduceat(x, starts)  # noqa: E731  every text has a token
+            for order, part in enumerate(_unpack(row["counts"], row["sizes"], "<i8")):
+                counts[order].append(part)
+        model = Automaton(grams, [np.concatenate(c) for c in counts], n, v)
+        each_sum = lambda x: np.add.reduceat(x, grams.starts)  # noqa: E731  every text has a token
+        word = grams.which[0]
         return pa.table(
             {
                 "doc_id": group.column("doc_id"),
-                "n_tokens": each,
-                "n_known": each_sum((counts[1] > 0).astype(np.int64)),
-                "train_tokens": np.full(len(each), n),
-                "base_score": each_sum(model.base(counts[1])),
-                "score": each_sum(model.walk(counts[1], counts[0], counts[2])),
+                "n_tokens": grams.each,
+                "n_known": each_sum((np.concatenate(counts[0])[word] > 0).astype(np.int64)),
+                "train_tokens": np.full(len(grams.each), n),
+                "base_score": each_sum(model.base[word]),
+                "score": model.walk(grams.starts, grams.each),
             }
         )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    told = replies.filter("block >= 0").select("block", "ord", "bucket", "counts")
+    told = replies.filter("block >= 0").select("block", "bucket", "sizes", "check", "counts")
     return docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
 
 

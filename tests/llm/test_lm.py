@@ -14,23 +14,35 @@ def words(text):
 
 
 def brute(rows):
+    """By counters of whole n-grams and the recursion of the smoothing, without states or arcs."""
     held = {i: d is not None and zlib.crc32(str(d).encode()) % 5 == 1 for i, (d, _) in enumerate(rows)}
-    ones, twos, context = Counter(), Counter(), Counter()
+    grams, contexts = Counter(), Counter()
     for i, (_, text) in enumerate(rows):
         if not held[i]:
             w = words(text)
-            ones.update(w[1:])
-            twos.update(zip(w, w[1:]))
-            context.update(w[:-1])
-    n, z = sum(ones.values()), sum(ones.values()) + 0.5 * (len(ones) + 1)
+            for j in range(1, len(w)):
+                for k in range(3):
+                    if j - k >= 0:
+                        grams[tuple(w[j - k : j + 1])] += 1
+                        contexts[tuple(w[j - k : j])] += 1
+    ones = {g: c for g, c in grams.items() if len(g) == 1 and g != ("<s>",)}
+    n = sum(ones.values())
+    z = n + 0.5 * (len(ones) + 1)
+
+    def p(h, x):
+        if not h:
+            return (grams[x,] + 0.5) / z
+        if not contexts[h]:
+            return p(h[1:], x)
+        u = {1: 20, 2: 4}[len(h)] * contexts[h] ** {1: 0.7, 2: 0.5}[len(h)]
+        return (grams[*h, x] + u * p(h[1:], x)) / (contexts[h] + u)
+
     for i, (doc_id, text) in enumerate(rows):
-        w, base, full = words(text), 0.0, 0.0
-        for h, x in zip(w, w[1:]):
-            p = (ones[x] + 0.5) / z
-            base += math.log10(p)
-            u = 9 * context[h] ** 0.7
-            full += math.log10((twos[h, x] + u * p) / (context[h] + u) if context[h] else p)
-        yield doc_id, held[i], len(w) - 1, sum(ones[x] > 0 for x in w[1:]), n, round(base, 6), round(full, 6)
+        w = words(text)
+        at = range(1, len(w))
+        base = sum(math.log10(p((), w[j])) for j in at)
+        full = sum(math.log10(p(tuple(w[max(0, j - 2) : j]), w[j])) for j in at)
+        yield doc_id, held[i], len(w) - 1, sum((x,) in ones for x in w[1:]), n, round(base, 6), round(full, 6)
 
 
 def key(r):
@@ -51,13 +63,54 @@ def test_better_than_words_alone_on_held_out_texts(docs):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
-def test_probabilities_of_a_state_sum_to_one(spark):
+@pytest.mark.parametrize("text", ["a b a b c", "b a a", "", "c c c c a b"])
+def test_probabilities_of_every_state_sum_to_one(text):
+    """The next token after a text: its whole vocabulary, the end and what is unseen."""
     import numpy as np
 
-    model = lm.Automaton(10, 3)
-    c, state, arc = np.array([5.0, 3, 2, 0]), 4.0, np.array([3.0, 1, 0, 0])
-    assert (10 ** model.walk(c, np.full(4, state), arc)).sum() == pytest.approx(1)
-    assert (10 ** model.base(c)).sum() == pytest.approx(1)
+    train = ["a b c", "a b a", "b c", "a", "c a b c a b"]
+    asked = [*train, *(f"{text} {w}".strip() for w in "abc"), text, f"{text} zz".strip()]
+    grams = lm.Grams(*lm.tokens(asked))
+    learns = np.arange(len(asked)) < len(train)
+    counts = grams.counts(learns)
+    total, types = int(counts[0].sum() - counts[0][grams.start]), 4
+    model = lm.Automaton(grams, counts, total, types)
+    score = 10 ** model.walk(grams.starts, grams.each)
+    # By subtraction of the end token's share: walks of the text, of it with each word, both with the end.
+    without = {}
+    for w, x in zip([*"abc", "zz"], [*score[5:8], score[9]]):
+        t = f"{text} {w}".strip()
+        ended = lm.Grams(*lm.tokens([*train, t, *(f"{t} {v}" for v in "abc"), f"{t} zz"]))
+        m = lm.Automaton(ended, ended.counts(np.arange(10) < 5), total, types)
+        last = int(np.cumsum(ended.each)[5] - 1)
+        state = step(m, ended, 5)
+        without[w] = x / 10 ** arc_weight(m, state, last)
+    prefix = score[8] / 10 ** arc_weight(model, step(model, grams, 8), int(np.cumsum(grams.each)[8] - 1))
+    assert (sum(without.values()) + score[8]) / prefix == pytest.approx(1)
+
+
+def step(model, grams, text):
+    """The state before a text's last token."""
+    state = model.start
+    for at in range(int(grams.starts[text]), int(grams.starts[text] + grams.each[text] - 1)):
+        while not model.known[arc := model.arcs[model.level[state], at]]:
+            state = model.shorter[state]
+        state = model.to[arc]
+    return state
+
+
+def arc_weight(model, state, at):
+    total = 0.0
+    while not model.known[arc := model.arcs[model.level[state], at]]:
+        total, state = total + model.failure[state], model.shorter[state]
+    return total + model.weight[arc]
+
+
+def test_blocks_of_any_size_give_the_same(odd, docs):
+    for df in (odd, docs):
+        a, b = (sorted((tuple(r) for r in lm.score(df, block_bytes=n).collect()), key=key) for n in (20_000, 10**9))
+        assert [x[:4] for x in a] == [x[:4] for x in b]
+        assert [x[4:] for x in a] == [pytest.approx(x[4:]) for x in b]
 
 
 def test_nothing_to_learn_from_and_empty_table(spark, empty):
