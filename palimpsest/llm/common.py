@@ -198,6 +198,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Keys with more than a HOT-th of all rows: there are fewer than HOT of these, whatever the rows.
+HOT = 1000
+
+
+def attach(rows: DataFrame, facts: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+    """rows with the columns of facts, which has one row a key and in column n about how many of rows have it, of `total` in all.
+
+    Frequent keys go by broadcast (their number is bounded by that of their rows), so that none is one task's.
+    """
+    often = F.col(n) * HOT > total
+    hot = F.broadcast(facts.filter(often).drop(n))
+    others = rows.join(F.broadcast(facts.filter(often).select(key)), key, "left_anti").join(facts.filter(~often).drop(n), key)
+    return rows.join(hot, key).unionByName(others)
+
+
 def narrow(df: DataFrame) -> DataFrame:
     """df, whose rows hold no texts, in an eighth of the partitions that shuffles make (8 at least): fewer and larger files."""
     return df.coalesce(max(8, partitions(df.sparkSession) // 8))

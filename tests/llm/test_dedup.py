@@ -65,10 +65,10 @@ def test_near_duplicates(odd, docs):
         assert Counter(map(tuple, simhash.near_duplicates(df).collect())) == want
 
 
-@pytest.mark.parametrize("limit", [1, 64])
-def test_links_and_components_of_clusters(spark, monkeypatch, limit):
-    """Chains, dense clusters over the length of a list, and both signs."""
-    monkeypatch.setattr(simhash, "LIST", limit)
+@pytest.mark.parametrize("together", [1, 50_000])
+def test_links_and_components_of_clusters(spark, monkeypatch, together):
+    """Chains, dense clusters, lists that go on over batches, and both signs."""
+    monkeypatch.setattr(simhash, "TOGETHER", together)
     import random
 
     rnd = random.Random(5)
@@ -81,7 +81,8 @@ def test_links_and_components_of_clusters(spark, monkeypatch, limit):
     fps = sorted(fps)
     want = {tuple(sorted((a, b))) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 2}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))
+    got = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long").repartition(3))
+    assert got.count() == len(want)
     assert {tuple(sorted((r.a % 2**64, r.b % 2**64))) for r in got.collect()} == want
     labels = {r.node: r.label for r in simhash.components(got).collect()}
     comp = brute(fps, signed)
@@ -89,6 +90,18 @@ def test_links_and_components_of_clusters(spark, monkeypatch, limit):
         assert labels.get(f, f) == c
 
 
+def test_a_list_of_all_its_members():
+    """Every value of two bytes, the others equal: 65,536 fingerprints in one list."""
+    import numpy as np
+
+    n = np.arange(65536, dtype=np.uint64)
+    a, b = simhash.verified(np.zeros(65536, int), np.full(65536, simhash.OPEN.index((0, 5))), n & np.uint64(0xFF) | n >> np.uint64(8) << np.uint64(40))
+    # 64 neighbours with a bit in each byte; 36 with bits in byte 5 alone, which this list reports; those in byte 0 alone are another's.
+    assert len(a) == 65536 * (64 + 36) // 2
+    assert len(set(zip(a.tolist(), b.tolist()))) == len(a)
+    assert np.bitwise_count(a ^ b).max() == 2
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
     assert {r.label for r in simhash.components(edges).collect()} == {0}
