@@ -18,7 +18,9 @@ def test_exact_dedup_is_the_sql(docs, sf):
     assert sorted(map(tuple, exactdedup.groups(docs).select(*cols.split(", ")).collect())) == want
 
 
-def test_exact_dedup_of_odd_rows(odd):
+@pytest.mark.parametrize("window", [1, 8_000_000])
+def test_exact_dedup_of_odd_rows(odd, monkeypatch, window):
+    monkeypatch.setattr(exactdedup, "WINDOW", window)
     groups = defaultdict(list)
     for doc_id, text in odd.select("doc_id", "text").collect():
         groups[re.sub(r"[\x20\x09-\x0D]", "", text or "")].append((-len(text or ""), doc_id is None, doc_id or 0, doc_id))
@@ -31,6 +33,16 @@ def test_exact_dedup_of_odd_rows(odd):
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == Counter((k[0], k[1], k[2], k[4]) for k in want.elements())
 
 
+def test_a_group_of_very_many_copies_has_a_row_for_each_window(spark):
+    rows = [(i, "hot  text" if i % 3 else "hot text", None) for i in range(4000)] + [(i, f"cold {i}", None) for i in range(4000, 4400)]
+    df = frame(spark, rows).repartition(2)
+    folded = exactdedup.fold(df, []).filter("norm = binary('hottext')").collect()
+    assert len(folded) <= 2 and sum(len(r.members) for r in folded) == 4000
+    got = exactdedup.groups(df).collect()
+    assert len(got) == 4400 and sum(r.kept for r in got) == 401
+    assert {(r.keep_id, r.group_size) for r in got if r.doc_id < 4000} == {(1, 4000)}
+
+
 def fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
