@@ -1,14 +1,16 @@
 """License notices in texts, by conditional compression and exact wording.
 
-A text is one sequence of words, whatever its lines and comment marks, so wrapped notices are whole. A template of
-n words is confirmed wherever the words between two places of the text become the template's by at most DIFFER * n
-insertions and deletions, which are reported. Of k + 1 pieces of a template, one stands unchanged wherever there
-are at most k such differences: the pieces name the places to compare, and none is missed. Each template is also a raw dictionary
-for zstandard: what it takes off the compressed size of a notice is its reduction. SPDX tags are read by a pattern;
-their license is the expression as written.
-
-Where confirmed notices overlap, that with the most words in place (less its differences) stays, then the most
-similar, then that of the greater reduction, then the first by name; all that do not overlap are reported.
+A text is one sequence of words, whatever its lines and comment marks, so wrapped notices are whole. A candidate block
+is a stretch of words around a piece of a template: of k + 1 pieces, one stands unchanged wherever there are at most k
+differences, so with k = DIFFER of the template's words no notice is outside a block, and no list of signal words
+decides. Every block is compressed alone and with each template whose piece it has as zstandard's raw dictionary; what
+the dictionary takes off the compressed size is the template's reduction, and templates are tried in order of it.
+A template is confirmed wherever the words between two places of the block become its own by at most k insertions and
+deletions, which are reported. SPDX tags are read by a pattern; their license is the expression as written.
+
+Every confirmed notice is measured by its own text's reduction less the bytes of the words that differ. Where notices
+overlap, the one that gains most stays, then the one with the most words in place, then the most similar, then the
+first by name; all that do not overlap are reported, however many a block has.
 
 Defined results: null, empty and blank texts and texts without a notice have no rows; line is that of the first
 word; equal texts have the same result wherever they are; rows that repeat repeat their rows; an empty table gives
@@ -20,7 +22,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,9 +108,11 @@ class Scanner:
         data = block.lower().encode()
         return len(self.plain.compress(data)) - len(given.compress(data))
 
-    def reductions(self, block: str) -> list[tuple[int, str]]:
-        """Those of all templates, the greatest first."""
-        return sorted(((self.reduction(block, c), n) for n, c in self.given.items()), key=lambda x: (-x[0], x[1]))
+    def ranked(self, block: str, names: Iterable[str] | None = None) -> list[tuple[int, str]]:
+        """The reductions of templates (all, or those named), the greatest first."""
+        data = block.lower().encode()
+        alone = len(self.plain.compress(data))
+        return sorted(((alone - len(self.given[n].compress(data)), n) for n in (self.given if names is None else names)), key=lambda x: (-x[0], x[1]))
 
     def places(self, name: str, have: list[str]) -> Iterator[tuple[int, int, int, str]]:
         """First word, end, number and list of differences wherever the words have the template, from left to right."""
@@ -177,6 +181,20 @@ class Scanner:
             out[name] = joined
         return out
 
+    def blocks(self, have: list[str]) -> Iterator[tuple[int, int, dict[str, list[list[int]]]]]:
+        """Candidate blocks: first word, end, and by template the ranges of words within them that may hold it."""
+        ranges = sorted((lo, hi, name) for name, rs in self.near(have).items() for lo, hi in rs)
+        first = end = 0
+        within: dict[str, list[list[int]]] = {}
+        for lo, hi, name in ranges:
+            if within and lo > end:
+                yield first, end, within
+                within = {}
+            first, end = (lo, hi) if not within else (first, max(end, hi))
+            within.setdefault(name, []).append([lo, hi])
+        if within:
+            yield first, end, within
+
     def tags(self, text: str) -> Iterator[tuple[int, int, str]]:
         """start, end and expression of each SPDX tag."""
         for m in SPDX.finditer(text):
@@ -193,25 +211,27 @@ class Scanner:
         if "spdx-license-identifier" in low:
             for lo, hi, told in self.tags(text):
                 block = text[lo:hi]
-                hits.append((-1e9, 0.0, -self.reduction(block, self._given(block)), told, lo, hi, ""))
+                hits.append((-1e9, 0, 0.0, told, lo, hi, "", self.reduction(block, self._given(block))))
         if any(s in low for s in self.signs):
             found = words(text)
             have = [w for w, _, _ in found]
-            for name, ranges in self.near(have).items():
-                n = len(self.wording[name])
-                for lo, hi in ranges:
-                    for a, b, cost, changes in self.places(name, have[lo:hi]):
-                        start, end = found[lo + a][1], found[lo + b - 1][2]
-                        hits.append((cost - n, cost / n, -self.reduction(text[start:end], self.given[name]), name, start, end, changes))
+            for lo, hi, near in self.blocks(have):
+                for _, name in self.ranked(text[found[lo][1] : found[hi - 1][2]], near):
+                    n = len(self.wording[name])
+                    for at, to in near[name]:
+                        for a, b, cost, changes in self.places(name, have[at:to]):
+                            start, end = found[at + a][1], found[at + b - 1][2]
+                            gain = self.reduction(text[start:end], self.given[name]) - len(changes.encode())
+                            hits.append((-gain, cost - n, cost / n, name, start, end, changes, gain + len(changes.encode())))
         taken: list[tuple] = []
         for hit in sorted(hits):
             i = bisect.bisect(taken, hit[4], key=lambda h: h[4])
             if (not i or taken[i - 1][5] <= hit[4]) and (i == len(taken) or hit[5] <= taken[i][4]):
                 taken.insert(i, hit)
         line = at = 0
-        for _, differ, reduction, name, start, end, changes in taken:
+        for *_, differ, name, start, end, changes, reduction in taken:
             line, at = line + text.count("\n", at, start), start
-            yield line, start, end, name, -reduction, 1 - differ, changes
+            yield line, start, end, name, reduction, 1 - differ, changes
 
 
 def scan(df: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

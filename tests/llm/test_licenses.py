@@ -52,10 +52,39 @@ def test_wording(text, license, differences):
 def test_own_dictionary_takes_off_the_most():
     s = licenses.Scanner()
     for name, text in s.texts.items():
-        reduction, first = s.reductions(text)[0]
+        reduction, first = s.ranked(text)[0]
         assert reduction > 0 and s.texts[first].lower().startswith(text.lower()[:40])
 
 
+def test_whole_notices_by_a_plain_search(docs):
+    """Independent of the scanner: every stretch of words that is a template's own is within a notice of at least its gain."""
+    import re
+
+    plain = {n: " " + " ".join(re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", t.lower())) + " " for n, t in licenses.TEMPLATES.items()}
+    got = {}
+    for r in licenses.scan(docs).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    seen = 0
+    for r in docs.collect():
+        spans = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+(?:[.-][^\W_]+)*", (r.text or "").lower())]
+        joined = " " + " ".join((r.text or "").lower()[a:b] for a, b in spans) + " "
+        for name, want in plain.items():
+            at = joined.find(want)
+            while at >= 0:
+                seen += 1
+                first = joined.count(" ", 0, at + 1) - 1
+                lo, hi = spans[first][0], spans[first + want.count(" ") - 2][1]
+                mine = [x for x in got.get(r.doc_id, []) if x.start < hi and x.end > lo]
+                assert mine and (any(x.license == name and x.exact for x in mine) or any(x.end - x.start > hi - lo for x in mine))
+                at = joined.find(want, at + 1)
+    assert seen > 3
+
+
+@pytest.mark.parametrize("name", ["BSD-2-Clause-full", "BSD-3-Clause-full", "GPL-2.0-or-later", "GPL-3.0-or-later", "AGPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "MPL-2.0", "MPL-2.0-notice"])
+def test_near_equal_templates_are_told_apart(name):
+    assert found(f"a b c. {licenses.TEMPLATES[name]} d e f") == [(0, name, "")]
+
+
 def test_odd_rows_and_empty_table(spark, odd, empty):
     assert licenses.scan(odd).collect() == []
     assert licenses.scan(empty).collect() == []
