@@ -30,8 +30,8 @@ TOP = 400
 #: Documents of each language that profiles are fitted on, about.
 SAMPLE = 1500
 UNKNOWN = "und"
-#: A text with a lower score has next to nothing in common with any profile.
-FLOOR = 0.05
+#: A text is in none of the languages if its score is under SHARE of what all but LEAST of the fitting documents have.
+SHARE, LEAST = 0.55, 0.001
 
 
 @functools.cache
@@ -92,16 +92,32 @@ class Profiles:
         return self.languages[best], float(1 - away[best] / (self.top * len(own)))
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top: int = TOP, sample: int = SAMPLE) -> dict[str, list[int]]:
-    """The profile of each language of the given training documents (rows without text or language are passed over)."""
+def sampled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[DataFrame, list[str]]:
+    """About `sample` documents of each language (doc_id, text, lang), and the languages."""
     docs = common.texts(df, id_col, text_col, F.col(lang_col).alias("lang")).filter("lang is not null and text <> ''")
     # As many rows as there are languages.
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return {}
+        return docs, []
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))))[F.col("lang")]
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    return docs.filter(place < share), sorted(sizes)
+
+
+def floor(df: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> float:
+    """The least score of a text in one of the languages: far below those of the documents that profiles are fitted on."""
+    docs, languages = sampled(df, id_col, text_col, lang_col, sample)
+    if not languages:
+        return 0.0
+    scores = identify(docs, profiles).filter(F.col("lang_pred") != UNKNOWN)
+    return SHARE * (scores.agg(F.percentile("score", F.lit(LEAST))).first()[0] or 0.0)
 
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top: int = TOP, sample: int = SAMPLE) -> dict[str, list[int]]:
+    """The profile of each language of the given training documents (rows without text or language are passed over)."""
+    docs, languages = sampled(df, id_col, text_col, lang_col, sample)
+    if not languages:
+        return {}
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in common.batches(it):
             langs = batch.column("lang").to_pylist()
@@ -111,12 +127,12 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                     keys, counts = counted(found)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
-    parts = docs.filter(place < share).mapInArrow(run, "lang string, gram long, n long")
+    parts = docs.mapInArrow(run, "lang string, gram long, n long")
     counts = common.table(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     # `top` rows of each language reach the driver.
     return {
         lang: [r["gram"] for r in counts.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(top).collect()]
-        for lang in sorted(sizes)
+        for lang in languages
     }
 
 
@@ -142,13 +158,13 @@ def held_out(df: DataFrame) -> DataFrame:
     return identify(df, profiles).select("doc_id", (common.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def keep(df: DataFrame, profiles: dict[str, list[int]], floor: float = FLOOR, text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns, whose text is in one of the languages: not `und`, and with a score of `floor` at least."""
+def keep(df: DataFrame, profiles: dict[str, list[int]], least: float, text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns, whose text is in one of the languages: not `und`, and with a score of `least` at least (see floor())."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(profiles)
         for batch in it:
             found = [model.predict(t or "") for t in batch.column(text_col).to_pylist()]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= floor for lang, score in found], pa.bool_()))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -38,6 +38,67 @@ def test_grams_are_those_of_padded_words():
         assert sorted(map(name, langid.grams(text).tolist())) == plain(text)
 
 
+def plain_query(rows):
+    """The whole query on lists and dictionaries: profiles, distances, ties."""
+    import zlib
+    from collections import Counter
+
+    def grams(text):
+        out, word = [], ""
+        for c in text.lower() + " ":
+            if c.isalpha():
+                word += c
+            elif word:
+                p, word = f" {word} ", ""
+                out += [*p[1:-1], *(p[i : i + 2] for i in range(len(p) - 1)), *(p[i : i + 3] for i in range(len(p) - 2))]
+        # A space between two words belongs to both.
+        return Counter(out)
+
+    def top(counts):
+        return sorted(counts, key=lambda g: (-counts[g], number(g)))[:400]
+
+    def number(g):
+        out = 0
+        for c in g:
+            out = out << 21 | ord(c)
+        return out
+
+    held = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d, *_ in rows}
+    counts = {}
+    for d, text, lang in rows:
+        if lang is not None and text and not held[d]:
+            counts.setdefault(lang, Counter()).update(grams(text))
+    ranks = {lang: {g: i for i, g in enumerate(top(c))} for lang, c in sorted(counts.items())}
+    for d, text, _ in rows:
+        mine = top(grams(text or ""))
+        if not mine or not ranks:
+            yield d, held[d], "und", 0.0
+            continue
+        away = {lang: sum(abs(r[g] - i) if g in r else 400 for i, g in enumerate(mine)) for lang, r in ranks.items()}
+        best = min(away, key=lambda lang: (away[lang], lang))
+        yield d, held[d], best, round(1 - away[best] / (400 * len(mine)), 9)
+
+
+def test_the_whole_query_is_that_on_lists(docs):
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+    got = sorted((r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in langid.held_out(docs).collect())
+    assert got == sorted(plain_query(rows))
+
+
+def test_the_floor_is_between_noise_and_the_languages(docs):
+    import random
+
+    rnd = random.Random(1)
+    model = langid.fit(docs)
+    least = langid.floor(docs, model)
+    p = langid.Profiles(model)
+    scores = sorted(p.predict(r.text)[1] for r in docs.filter("lang is not null").collect() if (r.text or "").strip())
+    assert 0.2 < least < scores[len(scores) // 100]
+    noise = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(600)) for _ in range(50)]
+    assert max(p.predict(t)[1] for t in noise) < least
+    assert p.predict("Съешь же ещё этих мягких французских булок, да выпей чаю")[1] < least
+
+
 def test_odd_rows_and_empty_table(odd, empty, spark):
     model = langid.fit(odd)
     got = langid.identify(odd, model).collect()
