@@ -11,39 +11,47 @@ With c counts in training, Z = N + (V + 1) / 2, h a context, h' the context with
     p(w) = (c(w) + 1/2) / Z,   p(w|h) = (c(hw) + u(h) p(w|h')) / (c(h) + u(h)),   failure weight u(h) / (c(h) + u(h)),
     u(h) = SCALE * c(h) ** POWER, each by the length of h.
 
-Counts cover all training texts and are never on one machine: rows are dealt into blocks of about BLOCK_BYTES of
-text, whatever their doc_id; each block asks for the counts of its own distinct words, pairs and triples and adds
-what its training texts hold; the requests are dealt by ranges of hashed keys (a range for each block), summed, and
-answered to each block in the order it asked. However frequent a word is, a block asks for it once, so a task's
-work has a bound that doesn't grow with the table. Words, pairs and triples are told apart by 64-bit hashes.
+Counts cover all training texts and are never on one machine: the rows of each input partition are cut into blocks of
+about BLOCK_BYTES of text, whatever their doc_id; each block asks for the counts of its own distinct words, pairs and
+triples and adds what its training texts hold; the requests are dealt by ranges of hashed keys (about one for each
+BLOCK_BYTES), summed, and answered to each block in the order it asked. However frequent a word is, a block asks for
+it once, so a task's work has a bound that doesn't grow with the table. Words, pairs and triples are told apart by
+56-bit hashes: of 10 ** 12 of them, one in 70,000 shares its hash.
 
 Defined results: null and empty texts are the end token alone; repeated rows count as often as they come;
 a null doc_id is in fold 0; without any training text every token is unknown; an empty table gives no
 rows; a text longer than a block is a block's whole work; other columns of the input are not looked at. The input is
-read twice and has to give the same rows both times (a scan or a table does): a block whose keys differ is an error.
+read twice and has to give the same rows in the same order both times (a scan or a table does): a block whose keys
+differ is an error.
 """
 
 from __future__ import annotations
 
 import functools
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import common
 
-START, END = np.uint64(1), np.uint64(2)
+#: Hashes that no word takes the place of: of the start and the end of a text.
+START, END = np.uint64(1 << 40), np.uint64(2 << 40)
 #: Tokens in the longest n-gram.
 ORDER = 3
 #: Backoff mass of a context by its length: SCALE * c(h) ** POWER.
 SCALE, POWER = {1: 20.0, 2: 4.0}, {1: 0.7, 2: 0.5}
+#: Bits of a key.
+BITS = 56
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 4_000_000
 
 
 class Words:
@@ -110,14 +118,17 @@ class Grams:
         pair = mixed(before, keys)
         first = np.zeros(len(keys), bool)
         first[self.starts] = True
-        words, which = np.unique(np.append(keys, START), return_inverse=True)
+        # The highest bits alone name an n-gram; hashes of pairs and triples are made of the whole ones.
+        short = np.uint64(64 - BITS)
+        words, which = np.unique(np.append(keys, START) >> short, return_inverse=True)
         self.start = int(which[-1])
-        pairs, which_pair = np.unique(pair, return_inverse=True)
+        pairs, which_pair = np.unique(pair >> short, return_inverse=True)
         inner = np.flatnonzero(~first)
-        triples, which_inner = np.unique(mixed(pair[inner - 1], keys[inner]), return_inverse=True)
-        which_triple = np.zeros(len(keys), np.int64)
+        triples, which_inner = np.unique(mixed(pair[inner - 1], keys[inner]) >> short, return_inverse=True)
+        which_triple = np.zeros(len(keys), np.int32)
         which_triple[inner] = which_inner
-        self.distinct, self.which, self.first = (words, pairs, triples), (which[:-1], which_pair, which_triple), first
+        self.distinct, self.first = (words, pairs, triples), first
+        self.which = (which[:-1].astype(np.int32), which_pair.astype(np.int32), which_triple)
 
     def counts(self, trains: np.ndarray) -> list[np.ndarray]:
         """How often each n-gram ends in the texts that train; of START, how many these are."""
@@ -130,7 +141,7 @@ class Grams:
 
     def slices(self, buckets: int) -> list[list[int]]:
         """Where each bucket's keys begin and end among the distinct ones, by order."""
-        edges = np.array([-(-(k << 64) // buckets) for k in range(1, buckets)], np.uint64)
+        edges = np.array([-(-(k << BITS) // buckets) for k in range(1, buckets)], np.uint64)
         return [[0, *np.searchsorted(d, edges).tolist(), len(d)] for d in self.distinct]
 
 
@@ -151,29 +162,60 @@ def _gaps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=np.uint64(0))
 
 
-REQUESTS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("sizes", pa.list_(pa.int32())), ("gaps", pa.binary()), ("counts", pa.binary())])
-ANSWERS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("sizes", pa.list_(pa.int32())), ("check", pa.int64()), ("counts", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())])
+REQUESTS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("sizes", pa.list_(pa.int32())), ("gaps", pa.binary()), ("counts", pa.binary())])
+ANSWERS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("sizes", pa.list_(pa.int32())), ("check", pa.int64()), ("counts", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())])
 
 
 def _check(keys: list[np.ndarray]) -> int:
     return functools.reduce(lambda c, k: zlib.crc32(k.tobytes(), c), keys, 0)
 
 
-def requests(docs: DataFrame, buckets: int) -> DataFrame:
+def blocks(it: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.Table]]:
+    """The blocks of an input partition and their numbers, which are the same each time the partition is read."""
+    number, held, waiting = TaskContext.get().partitionId() << 32, 0, []
+    for batch in it:
+        lengths = np.asarray(pc.binary_length(batch.column("text").cast(pa.binary())).fill_null(0))
+        lo = 0
+        while lo < len(batch):
+            n = int(np.searchsorted(np.cumsum(lengths[lo:]), size - held, side="right"))
+            n = n if held else max(1, n)  # a longer text is a block of its own
+            if n:
+                waiting.append(batch.slice(lo, n))
+                held += int(lengths[lo : lo + n].sum())
+                lo += n
+            if lo < len(batch):
+                yield number, pa.Table.from_batches(waiting)
+                number, held, waiting = number + 1, 0, []
+    if waiting:
+        yield number, pa.Table.from_batches(waiting)
+
+
+def blocked(docs: DataFrame, size: int) -> DataFrame:
+    """docs (doc_id, text, trains) with the numbers of their blocks."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, block in blocks(it, size):
+            yield from block.append_column("block", pa.array(np.full(len(block), number))).to_batches()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, text string, trains boolean, block long")
+
+
+def requests(docs: DataFrame, buckets: int, size: int) -> DataFrame:
     """block, bucket, sizes (by order), gaps of the keys, counts: what each block asks for, with what its training texts hold."""
 
-    def run(group: pa.Table) -> pa.Table:
-        block = group.column("block")[0].as_py()
-        grams = Grams(*tokens(group.column("text").to_pylist()))
-        seen = grams.counts(group.column("trains").to_numpy())
-        rows = []
-        for k, edges in enumerate(zip(*(zip(c, c[1:]) for c in grams.slices(buckets)))):
-            if sizes := [b - a for a, b in edges]:
-                gaps = _pack([_gaps(d[a:b]) for d, (a, b) in zip(grams.distinct, edges)], "<u8")
-                rows.append((block, k, sizes, gaps, _pack([c[a:b] for c, (a, b) in zip(seen, edges)], "<u4")))
-        return pa.table([*zip(*rows)], schema=REQUESTS)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, group in blocks(it, size):
+            grams = Grams(*tokens(group.column("text").to_pylist()))
+            seen = grams.counts(group.column("trains").to_numpy())
+            rows = []
+            for k, edges in enumerate(zip(*(zip(c, c[1:]) for c in grams.slices(buckets)))):
+                if any(sizes := [b - a for a, b in edges]):
+                    gaps = _pack([_gaps(d[a:b]) for d, (a, b) in zip(grams.distinct, edges)], "<u8")
+                    rows.append((block, k, sizes, gaps, _pack([c[a:b] for c, (a, b) in zip(seen, edges)], "<u4")))
+            yield from pa.table([*zip(*rows)], schema=REQUESTS).to_batches(max_chunksize=common.BATCH_ROWS)
 
-    return docs.groupBy("block").applyInArrow(run, "block int, bucket int, sizes array<int>, gaps binary, counts binary")
+    return docs.mapInArrow(run, "block long, bucket int, sizes array<int>, gaps binary, counts binary")
 
 
 def answers(asked: DataFrame) -> DataFrame:
@@ -195,13 +237,13 @@ def answers(asked: DataFrame) -> DataFrame:
             for reply, part in zip(replies, np.split(sums[where], np.cumsum([n[order] for n in sizes])[:-1])):
                 reply.append(part)
             if order == 0:
-                words = sums[distinct != START]
+                words = sums[distinct != START >> np.uint64(64 - BITS)]
                 total, types = int(words.sum()), int((words > 0).sum())
         rows = [(b, bucket, n, _check(k), _pack(r, "<i8"), 0, 0) for b, n, k, r in zip(blocks, sizes, keys, replies)]
         rows.append((-1, bucket, [], 0, b"", total, types))
         return pa.table([*zip(*rows)], schema=ANSWERS)
 
-    return asked.groupBy("bucket").applyInArrow(run, "block int, bucket int, sizes array<int>, check long, counts binary, tokens long, types long")
+    return asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, sizes array<int>, check long, counts binary, tokens long, types long")
 
 
 class Automaton:
@@ -219,7 +261,7 @@ class Automaton:
         before[grams.starts] = grams.start
         inner = np.flatnonzero(~grams.first)
         # What each pair and triple is made of, by any of the tokens that end them.
-        pair_word, pair_before, triple_pair, triple_before = (np.zeros(m, np.int64) for m in (n[1], n[1], n[2], n[2]))
+        pair_word, pair_before, triple_pair, triple_before = (np.zeros(m, np.int32) for m in (n[1], n[1], n[2], n[2]))
         pair_word[pair], pair_before[pair] = word, before
         triple_pair[triple[inner]], triple_before[triple[inner]] = pair[inner], pair[inner - 1]
         # By smoothed probabilities up the orders: that of an arc, and the weight of its state's failure arc.
@@ -232,8 +274,8 @@ class Automaton:
         self.base = np.log10(p1)
         self.weight = np.log10(np.concatenate([p1, p2, p3]))
         self.known = np.concatenate([np.ones(n[0], bool), c2 > 0, c3 > 0])
-        self.arcs = np.stack([word, n[0] + pair, n[0] + n[1] + triple])
-        self.level = np.repeat([0, 1, 2], [1, n[0], n[1]])
+        self.arcs = np.stack([word, n[0] + pair, n[0] + n[1] + triple]).astype(np.int32)
+        self.level = np.repeat(np.arange(3, dtype=np.int8), [1, n[0], n[1]])
         self.failure = np.log10(np.concatenate([[1.0], u1 / (c1 + u1), u2 / (c2 + u2)]))
         self.shorter = np.concatenate([np.zeros(1 + n[0], np.int64), 1 + pair_word])
         # An arc leads to the longest known context at its end.
@@ -269,10 +311,8 @@ def score(df: DataFrame, trains: Column | None = None, id_col: str = "doc_id", t
     trains = F.lit(True) if trains is None else trains
     docs = common.texts(df, id_col, text_col, F.coalesce(trains, F.lit(False)).alias("trains"))
     size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    # By the row's number too, so that no doc_id or text, however often repeated, is a block of its own.
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
-    replies = common.table(answers(requests(docs, blocks)), "counts")
+    buckets = max(1, -(-size // block_bytes))
+    replies = common.table(answers(requests(docs, buckets, block_bytes)), "counts")
     told = replies.filter("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     n, v = int(told["n"]), int(told["v"])
     common.release(spark)
@@ -280,13 +320,15 @@ def score(df: DataFrame, trains: Column | None = None, id_col: str = "doc_id", t
     def run(group: pa.Table, told: pa.Table) -> pa.Table:
         grams = Grams(*tokens(group.column("text").to_pylist()))
         counts: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
-        cuts = grams.slices(blocks)
+        cuts = grams.slices(buckets)
         for row in told.sort_by("bucket").to_pylist():
             k = row["bucket"]
             if row["check"] != _check([d[c[k] : c[k + 1]] for d, c in zip(grams.distinct, cuts)]):
                 raise ValueError("the answers are not those to this block's requests")
             for order, part in enumerate(_unpack(row["counts"], row["sizes"], "<i8")):
                 counts[order].append(part)
+        if any(sum(map(len, c)) != len(d) for c, d in zip(counts, grams.distinct)):
+            raise ValueError("the answers are not those to this block's requests")
         model = Automaton(grams, [np.concatenate(c) for c in counts], n, v)
         each_sum = lambda x: np.add.reduceat(x, grams.starts)  # noqa: E731  every text has a token
         word = grams.which[0]
@@ -304,7 +346,7 @@ def score(df: DataFrame, trains: Column | None = None, id_col: str = "doc_id", t
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     told = replies.filter("block >= 0").select("block", "bucket", "sizes", "check", "counts")
-    return docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
+    return blocked(docs, block_bytes).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
 
 
 def held_out(df: DataFrame) -> DataFrame:

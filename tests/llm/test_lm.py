@@ -113,6 +113,25 @@ def test_blocks_of_any_size_give_the_same(odd, docs):
         assert [x[4:] for x in a] == [pytest.approx(x[4:]) for x in b]
 
 
+def test_blocks_cut_a_partition_by_bytes(spark, odd):
+    docs = odd.coalesce(1).selectExpr("doc_id", "coalesce(text, '') as text", "true as trains")
+    rows = lm.blocked(docs, 3000).collect()
+    assert len(rows) == odd.count() and [r.block for r in rows] == sorted(r.block for r in rows)
+    sizes = {}
+    for r in rows:
+        sizes.setdefault(r.block, []).append(len(r.text.encode()))
+    assert len(sizes) > 2 and all(sum(x) <= 3000 or len(x) == 1 for x in sizes.values())
+
+
+def test_answers_to_other_rows_are_an_error(docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    blocked = lm.blocked
+    monkeypatch.setattr(lm, "blocked", lambda d, n: blocked(d.withColumn("text", F.concat("text", F.lit(" x"))), n))
+    with pytest.raises(Exception, match="not those to this block"):
+        lm.score(docs).collect()
+
+
 def test_nothing_to_learn_from_and_empty_table(spark, empty):
     assert lm.held_out(empty).collect() == []
     from pyspark.sql import functions as F
