@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
 from pyspark.sql import SparkSession
 
 from palimpsest.plans import pipeline
+from palimpsest.sources import files
 
 
 def _list(text: str | None) -> list[str] | None:
@@ -25,27 +27,49 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--recoverable", action="store_true")
     p.add_argument("--recover", action="store_true")
     p.add_argument("--key", help="passphrase; default: the environment's, the key file's, or a new one")
+    p.add_argument("--key-file", help="where the passphrase is kept; default: among the results")
     p.add_argument("--redo", action="store_true", help="also documents that are done")
+    p.add_argument("--parsed", help="folder of a layout parser's output, for documents of pages")
+    p.add_argument("--parser", help="module:function that makes such output from a file's bytes and suffix")
+    p.add_argument("--findings", help="module:function from a column of texts to a column of spans of another detector")
+    p.add_argument("--files", help="folder for the results as files: artifacts with their audits, or what was restored")
+    p.add_argument("--summary", action="store_true", help="print the totals as JSON")
     return p
 
 
+def _named(what: str | None):
+    """The object that module:name means."""
+    if what is None:
+        return None
+    module, _, name = what.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("palimpsest").getOrCreate()
     if args.recover:
-        back = pipeline.restore(spark, args.source, args.key)
+        back = pipeline.restore(spark, args.source, args.key, args.key_file)
         if args.out:
             back.write.mode("overwrite").parquet(args.out)
             back = spark.read.parquet(args.out)
+        if args.files:
+            back = pipeline.export_restored(back, args.files)
         left = back.selectExpr("coalesce(sum(unresolved), 0) as n").first()["n"]
         print(f"unresolved: {left}")
         return int(left > 0)
     if not args.out:
         print("a folder of results is needed", file=sys.stderr)
         return 2
-    options = pipeline.Options(_list(args.fields), args.fields_file, not args.no_checksums, args.recoverable, args.key, skip_existing=not args.redo, surnames=args.surnames)
-    totals = {r["status"]: r["n"] for r in pipeline.run(spark, args.source, args.out, options).groupBy("status").count().withColumnRenamed("count", "n").collect()}
-    print(" ".join(f"{k}: {v}" for k, v in sorted(totals.items())))
+    options = pipeline.Options(
+        _list(args.fields), args.fields_file, not args.no_checksums, args.recoverable, args.key, args.key_file, not args.redo, args.surnames,
+        args.parsed, _named(args.parser), _named(args.findings),
+    )
+    status = pipeline.run(spark, args.source, args.out, options)
+    if args.files:
+        pipeline.export(spark, args.out, args.files).write.format("noop").mode("overwrite").save()
+    totals = {r["status"]: r["n"] for r in files.totals(status).collect()}
+    print(files.summary(status).first()["summary"] if args.summary else " ".join(f"{k}: {v}" for k, v in sorted(totals.items())))
     return int(totals.get("failed", 0) > 0)
 
 

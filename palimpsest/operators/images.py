@@ -57,20 +57,29 @@ def mosaics(df: DataFrame, factor: int = 16) -> DataFrame:
 
 
 def detect_objects(df: DataFrame, model: Callable[[bytes], list[dict]], classes: list[str] | None = None) -> DataFrame:
-    """df with `boxes` from a model of one's own (image bytes to dicts of OBJECT), of these classes; an image it fails on has none."""
+    """df with `boxes` from a model of one's own (image bytes to dicts of OBJECT), of these classes, and `error`.
 
-    @F.pandas_udf(f"array<{OBJECT}>")
-    def run(content: pd.Series) -> pd.Series:
-        def one(data):
-            try:
-                return model(bytes(data))
-            except Exception:  # noqa: BLE001  one image's failure is no job's
-                return []
-
-        return content.map(one)
+    An image that the model fails on has no boxes (null, not an empty list) and says why: nobody may take it for one with
+    nothing to hide. One image's failure is no other's.
+    """
 
-    boxes = run("content")
-    return df.withColumn("boxes", F.filter(boxes, lambda b: b["label"].isin(classes)) if classes else boxes)
+    @F.pandas_udf(f"struct<boxes:array<{OBJECT}>,error:string>")
+    def run(content: pd.Series) -> pd.DataFrame:
+        found, errors = [], []
+        for data in content:
+            boxes, error = None, None
+            try:
+                boxes = list(model(bytes(data)))
+            except Exception as e:  # noqa: BLE001  whatever the model raises
+                error = f"{type(e).__name__}: {e}"
+            found.append(boxes)
+            errors.append(error)
+        return pd.DataFrame({"boxes": found, "error": errors})
+
+    # Once for both columns.
+    told = df.withColumn("told", F.explode(F.array(run("content"))))
+    boxes = F.filter("told.boxes", lambda b: b["label"].isin(classes)) if classes else F.col("told.boxes")
+    return told.withColumn("boxes", boxes).withColumn("error", F.col("told.error")).drop("told")
 
 
 def text_boxes(lines: DataFrame, fields=None, least: float = 0.0) -> DataFrame:

@@ -18,7 +18,7 @@ def recovered_name(path: Column) -> Column:
     return F.regexp_replace(path, r"^(.*/)?([^/]*?)(\.[^./]+)?$", f"$1$2{SUFFIX}$3")
 
 
-def markdown(texts: DataFrame, spans: DataFrame, key: bytes, text_col: str = "masked_text") -> DataFrame:
+def markdown(texts: DataFrame, spans: DataFrame, key: bytes | Column, text_col: str = "masked_text") -> DataFrame:
     """doc_id, text, restored, unresolved. texts: doc_id and the masked text; spans: audit.spans_of(..., key).
 
     In order of place: a span that begins before the last one's end, whose token does not open, or whose mask is
@@ -41,7 +41,7 @@ def markdown(texts: DataFrame, spans: DataFrame, key: bytes, text_col: str = "ma
     return folded.select("doc_id", whole.alias("text"), F.col("f.n").alias("restored"), (F.coalesce(F.size("told"), F.lit(0)) - F.col("f.n")).alias("unresolved"))
 
 
-def leaves(units: DataFrame, spans: DataFrame, key: bytes, by: list[str]) -> DataFrame:
+def leaves(units: DataFrame, spans: DataFrame, key: bytes | Column, by: list[str]) -> DataFrame:
     """Units of a structured document (by, text), all or nothing: text, restored, unresolved.
 
     spans: by, masked_start, masked_end, masked_value, encrypted_value. A unit whose masks are not all in place,

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +17,45 @@ ARTIFACTS = ["sanitized.md", "redacted.json", "redacted.xlsx", "redacted.pdf"]
 STRUCTURED = [".json", ".xlsx"]
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path, length, modificationTime, content of all files below a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def scan(spark: SparkSession, root: str, *suffixes: str) -> DataFrame:
+    """path, length, modificationTime, content of all files below a folder, or of those with the suffixes, in any case."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if suffixes:
+        either = ",".join("*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes)
+        files = files.option("pathGlobFilter", "{" + either + "}")
+    return files.load(root)
+
+
+def qualified(spark: SparkSession, root: str) -> str:
+    """A folder as the paths of its files name it, with their scheme."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
+def write(rows: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """Writes each row's content as the file that its path names, and returns the rows with `size` instead of it.
+
+    A file gets its name when it is whole, so an attempt that ends early leaves none, and one that is repeated
+    replaces it by the same bytes.
+    """
+    others = [c for c in rows.columns if c != content]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sizes = []
+            for to, data in zip(batch.column(path).to_pylist(), batch.column(content).to_pylist(), strict=True):
+                files, name = fs.FileSystem.from_uri(to if "://" in to else "file://" + to.removeprefix("file:"))
+                folder, _, base = name.rpartition("/")
+                files.create_dir(folder, recursive=True)
+                part = f"{folder}/.{base}.{uuid.uuid4().hex}"
+                with files.open_output_stream(part) as out:
+                    out.write(data or b"")
+                files.move(part, name)
+                sizes.append(len(data or b""))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(sizes, pa.int64())], names=[*others, "size"])
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others)
+    return rows.mapInArrow(run, f"{schema}, size long")
 
 
 def suffix(path: Column) -> Column:

@@ -161,7 +161,7 @@ def redact(df: DataFrame, edits: DataFrame, id_col: str = "doc_id", json_col: st
     return both.mapInPandas(run, f"doc_id {kind}, json string")
 
 
-def recover(df: DataFrame, spans: DataFrame, key: bytes, sources: DataFrame | None = None) -> DataFrame:
+def recover(df: DataFrame, spans: DataFrame, key: bytes | Column, sources: DataFrame | None = None) -> DataFrame:
     """doc_id, json, restored, unresolved. df: doc_id, json as masked; spans: edit_spans() of the audit.
 
     All masks of a leaf come back, or none. A number or boolean that was masked whole is one again. With sources

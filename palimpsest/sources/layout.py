@@ -4,7 +4,7 @@ content list, paginated or flat. The parsers themselves are not called."""
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -202,3 +202,40 @@ def pair_images(found: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFram
     paired = b.join(f.groupBy("doc_id", "name").agg(F.min("path").alias("image_path")), ["doc_id", "name"], "left").drop("name")
     rest = f.join(b.filter("name is not null").select("doc_id", "name").distinct(), ["doc_id", "name"], "left_anti")
     return paired, rest.select("doc_id", F.lit(1).alias("page"), "path")
+
+
+def parsed_files(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """doc_id, middle, content of each document from a parser's files. docs: rel; told: rel, modificationTime, content.
+
+    A document's files are those below <its folder>/<its stem>/ that are named <stem>_middle.json, <stem>_content_list.json
+    or <stem>_content_list_v2.json; of several of a kind the one modified last, and of lists the second version.
+    """
+    name = F.regexp_extract("rel", r"([^/]+)$", 1)
+    kind = F.regexp_extract(name, r"_(middle|content_list_v2|content_list)\.json$", 1)
+    stem = F.regexp_replace(name, r"_(middle|content_list_v2|content_list)\.json$", "")
+    at = F.instr(F.concat(F.lit("/"), "rel"), F.concat(F.lit("/"), stem, F.lit("/")))
+    home = F.expr("left(rel, at + length(stem) - 1)")
+    mine = told.withColumn("kind", kind).filter("kind <> ''").withColumn("stem", stem).withColumn("at", at).filter("at > 0").withColumn("home", home)
+    last = mine.groupBy("home", "kind").agg(F.max_by(F.decode("content", "utf-8"), F.struct("modificationTime", "rel")).alias("json"))
+    text = {k: F.max(F.when(F.col("kind") == k, F.col("json"))) for k in ("middle", "content_list", "content_list_v2")}
+    both = last.groupBy("home").agg(text["middle"].alias("middle"), F.coalesce(text["content_list_v2"], text["content_list"]).alias("content"))
+    return docs.select(F.col("rel").alias("doc_id"), F.regexp_replace("rel", r"(\.[^./]+)$", "").alias("home")).join(both, "home").drop("home")
+
+
+def parsed_by(docs: DataFrame, parser: Callable[[bytes, str], tuple[str | None, str | None]]) -> DataFrame:
+    """The same by a parser of one's own: (bytes, suffix) to the page model and the content list, as JSON texts or None.
+
+    docs: doc_id, kind (the suffix), data. A document that it fails on has no row.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for doc, kind, data in zip(pdf["doc_id"], pdf["kind"], pdf["data"]):
+                try:
+                    rows.append((doc, *parser(bytes(data), kind)))
+                except Exception:  # noqa: BLE001  one document's failure is no run's; its status says so
+                    continue
+            yield pd.DataFrame(rows, columns=["doc_id", "middle", "content"])
+
+    return docs.select("doc_id", "kind", "data").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, middle string, content string")

@@ -257,7 +257,7 @@ def redact(files: DataFrame, edits: DataFrame, values: DataFrame, id_col: str =
     return both.mapInPandas(run, f"doc_id {kind}, content binary")
 
 
-def recover(files: DataFrame, spans: DataFrame, key: bytes, sources: DataFrame | None = None) -> DataFrame:
+def recover(files: DataFrame, spans: DataFrame, key: bytes | Column, sources: DataFrame | None = None) -> DataFrame:
     """doc_id, content, restored, unresolved. files: doc_id, content as masked; spans: doc_id, sheet_idx, row, col, kind,
     masked_value, masked_start, masked_end, encrypted_value.
 

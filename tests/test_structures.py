@@ -234,11 +234,15 @@ def test_layout(spark):
 
 def test_keys_and_tokens(spark, tmp_path, monkeypatch):
     monkeypatch.delenv(crypto.ENVIRONMENT, raising=False)
+    kept = crypto.KeyFile(spark, str(tmp_path / "k"))
     with pytest.raises(ValueError):
-        crypto.passphrase(None, tmp_path / "k", generate=False)
-    secret, new = crypto.passphrase(None, tmp_path / "k")
-    assert new and (tmp_path / "k").stat().st_mode & 0o777 == 0o600
-    assert crypto.passphrase(None, tmp_path / "k", generate=False) == (secret, False)
+        crypto.to_open(None, kept)
+    secret = crypto.to_seal(None, kept)
+    assert len(secret) > 20 and (tmp_path / "k").stat().st_mode & 0o777 == 0o600
+    assert crypto.to_open(None, kept) == secret == crypto.to_seal(None, kept) and crypto.to_open("own", kept) == "own"
+    monkeypatch.setenv(crypto.ENVIRONMENT, "told")
+    assert crypto.to_open(None, kept) == "told" and (tmp_path / "k").read_text().strip() == secret
+    assert crypto.to_seal(None, kept) == "told" == (tmp_path / "k").read_text().strip()
     salt = crypto.new_salt()
     key = crypto.derive_key(secret, salt)
     assert crypto.key_of({"recovery": crypto.public_parameters(salt)}, secret) == key
