@@ -44,6 +44,24 @@ def documents(blocks: DataFrame) -> DataFrame:
     return counts.join(texts, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def statistics(blocks: DataFrame, fields: list[Field] | None = None) -> DataFrame:
+    """doc_id, pages, n_blocks, chars, regions, total, by_field of placed blocks that carry their own spans.
+
+    chars: the document's text with its gaps; regions: blocks with a span; by_field has all the fields asked for.
+    """
+    names = [f.name for f in (DEFAULTS if fields is None else fields)]
+    body = F.col("char_start") >= 0
+    count = lambda name: F.coalesce(F.sum(F.when(body, F.size(F.filter("spans", lambda s: s["field_type"] == name)))), F.lit(0))
+    return blocks.groupBy("doc_id").agg(
+        F.greatest(F.max("page"), F.lit(1)).alias("pages"),
+        F.count(F.lit(1)).alias("n_blocks"),
+        F.coalesce(F.max(F.when(body, F.col("char_end"))), F.lit(0)).cast("long").alias("chars"),
+        F.count_if(body & (F.size("spans") > 0)).alias("regions"),
+        F.coalesce(F.sum(F.when(body, F.size("spans"))), F.lit(0)).alias("total"),
+        F.create_map(*(x for name in names for x in (F.lit(name), count(name)))).alias("by_field"),
+    )
+
+
 def block_at(spans: DataFrame, blocks: DataFrame) -> DataFrame:
     """spans (doc_id, start) with the ord and page of the block that holds the start; page 1 where none does."""
     b = blocks.filter("char_start >= 0").select("doc_id", F.col("ord").alias("block_ord"), F.col("page").alias("block_page"), "char_start", "char_end")

@@ -18,15 +18,12 @@ def recovered_name(path: Column) -> Column:
     return F.regexp_replace(path, r"^(.*/)?([^/]*?)(\.[^./]+)?$", f"$1$2{SUFFIX}$3")
 
 
-def markdown(texts: DataFrame, spans: DataFrame, key: bytes | Column, text_col: str = "masked_text") -> DataFrame:
-    """doc_id, text, restored, unresolved. texts: doc_id and the masked text; spans: audit.spans_of(..., key).
+def put_back(text: Column, told: Column) -> Column:
+    """struct<text, restored, unresolved> of a masked text. told: array<struct<lo, hi, mask, value>> in order of place.
 
-    In order of place: a span that begins before the last one's end, whose token does not open, or whose mask is
-    not there, is left. All spans of the audit count.
+    A span that begins before the last one's end, whose value is null (a token that does not open), or whose mask is
+    not there, is left.
     """
-    one = F.struct(F.col("md_start").alias("lo"), F.col("md_end").alias("hi"), F.col("masked_value").alias("mask"), crypto.opened(F.col("encrypted_value"), key).alias("value"))
-    told = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("told"))
-    text = F.col("t")
 
     def step(acc: Column, s: Column) -> Column:
         good = (s["lo"] >= acc["at"]) & s["value"].isNotNull() & (F.substring(text, s["lo"] + 1, s["hi"] - s["lo"]) == s["mask"])
@@ -34,11 +31,25 @@ def markdown(texts: DataFrame, spans: DataFrame, key: bytes | Column, text_col:
         done = F.struct(F.concat(acc["parts"], F.array(gap, s["value"])).alias("parts"), s["hi"].alias("at"), (acc["n"] + 1).alias("n"))
         return F.when(F.coalesce(good, F.lit(False)), done).otherwise(acc)
 
+    def whole(acc: Column) -> Column:
+        back = F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+        return F.struct(back.alias("text"), acc["n"].alias("restored"), (F.size(told) - acc["n"]).alias("unresolved"))
+
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"), F.lit(0).alias("n"))
+    untouched = F.struct(text.alias("text"), F.lit(0).alias("restored"), F.lit(0).alias("unresolved"))
+    return F.when(F.size(told) > 0, F.aggregate(told, start, step, whole)).otherwise(untouched)
+
+
+def markdown(texts: DataFrame, spans: DataFrame, key: bytes | Column, text_col: str = "masked_text") -> DataFrame:
+    """doc_id, text, restored, unresolved. texts: doc_id and the masked text; spans: audit.spans_of(..., key).
+
+    All spans of the audit count; see put_back() for those that stay.
+    """
+    one = F.struct(F.col("md_start").alias("lo"), F.col("md_end").alias("hi"), F.col("masked_value").alias("mask"), crypto.opened(F.col("encrypted_value"), key).alias("value"))
+    told = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("told"))
     both = texts.select("doc_id", F.col(text_col).alias("t")).join(told, "doc_id", "left")
-    folded = both.withColumn("f", F.aggregate(F.coalesce("told", F.array().cast(told.schema["told"].dataType)), start, step))
-    whole = F.concat(F.array_join("f.parts", ""), F.substring(text, F.col("f.at") + 1, F.length(text)))
-    return folded.select("doc_id", whole.alias("text"), F.col("f.n").alias("restored"), (F.coalesce(F.size("told"), F.lit(0)) - F.col("f.n")).alias("unresolved"))
+    known = F.coalesce("told", F.array().cast(told.schema["told"].dataType))
+    return both.select("doc_id", put_back(F.col("t"), known).alias("r")).select("doc_id", "r.*")
 
 
 def leaves(units: DataFrame, spans: DataFrame, key: bytes | Column, by: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,15 +101,34 @@ def detect_idcard_keyed(spark, d):
     return _hits(keyed(spark, d), "c_custkey", *fields("id_card"))
 
 
-@query(f"""select c_custkey, '张三' as value, cast(5 as int) as "start" from {KEYED_SQL}""")
+#: Names after a label, and names and other words that stand alone, by key.
+LABELLED, ALONE = ["张三", "欧阳明", "鬱文", "李小龙"], ["王小明", "李四", "不是名", "公司"]
+NAMED_SQL = f"""(select c_custkey, {LABELLED}[1 + c_custkey % 4] as a, {ALONE}[1 + (c_custkey // 4) % 4] as b from customer)"""
+
+
+@query(f"""select c_custkey, a as value, cast(4 as int) as "start", 0.95::double as confidence from {NAMED_SQL}
+  union all select c_custkey, b, cast(5 + length(a) as int), 0.5::double from {NAMED_SQL} where b in ('王小明', '李四')""")
 def names_context(spark, d):
-    s = keyed(spark, d).select("c_custkey", F.explode(resolve.resolve(detect.name_spans(F.col("text")))).alias("s"))
-    return s.filter("s.confidence > 0.9").select("c_custkey", F.col("s.value").alias("value"), F.col("s.start").alias("start"))
+    """Names by label and bare ones, with their confidences."""
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at % 4 + 1).cast("int"))
+    key = F.col("c_custkey")
+    text = F.concat(F.lit("联系人："), pick(LABELLED, key), F.lit("，"), pick(ALONE, F.floor(key / 4)), F.lit("。"))
+    s = read(spark, d, "customer").select("c_custkey", F.explode(resolve.resolve(detect.name_spans(text))).alias("s"))
+    return s.select("c_custkey", F.col("s.value").alias("value"), F.col("s.start").alias("start"), F.col("s.confidence").alias("confidence"))
+
 
+#: What companies are called, and what only looks like them, with the name that is found (none: empty).
+FIRMS = {
+    "北京某某科技有限公司": "北京某某科技有限公司", "和华夏银行": "华夏银行", "建设银行卡": "", "本公司": "", "甲方上海甲乙股份有限公司": "上海甲乙股份有限公司",
+    "手机银行": "", "Acme集团": "Acme集团", "一二三四五六七银行": "", "甲乙研究院与丙丁集团有限公司": "甲乙研究院|丙丁集团有限公司",
+}
 
-@query(f"""select c_custkey, '北京某某科技有限公司' as value, cast(strpos(text, '北京') - 1 as int) as "start" from {KEYED_SQL}""")
+
+@query(f"""select c_custkey, value, cast(strpos(text, value) - 1 as int) as "start" from
+  (select c_custkey, '单位 ' || given || '。' as text, unnest(string_split(found, '|')) as value from (select c_custkey, {list(FIRMS)}[1 + c_custkey % {len(FIRMS)}] as given, {list(FIRMS.values())}[1 + c_custkey % {len(FIRMS)}] as found from customer)) where value <> ''""")
 def companies(spark, d):
-    s = keyed(spark, d).select("c_custkey", F.explode(detect.company_spans(F.col("text"))).alias("s"))
+    given = F.element_at(F.array(*map(F.lit, FIRMS)), (F.col("c_custkey") % len(FIRMS) + 1).cast("int"))
+    s = read(spark, d, "customer").select("c_custkey", F.explode(detect.company_spans(F.concat(F.lit("单位 "), given, F.lit("。")))).alias("s"))
     return s.select("c_custkey", F.col("s.value").alias("value"), F.col("s.start").alias("start"))
 
 
@@ -180,8 +200,21 @@ def audit_by_document(spark, d):
     return audit.by_document(masked_documents(spark, d)).select("doc_id", "total", F.coalesce(F.col("by_field")["email"], F.lit(0)).alias("emails"))
 
 
-@query()
+AUDIT_SQL = " union all ".join(f"""select doc_id, '{kind}' as kind, "start", '{{{{"field_type":"{kind}","source":"rules","masked_value":"' || {masked} || '"}}}}' as entry from ({spans_sql("documents", "doc_id", pattern)})""".replace("{{", "{").replace("}}", "}") for kind, pattern, masked in (
+    ("email", EMAIL, "'****@***'"), ("bank_account", CARD, "left(value, 4) || repeat('*', length(value) - 8) || right(value, 4)")))
+
+
+@query(rf"""with a as ({AUDIT_SQL}), c as (select doc_id, kind, count(*) as n from a group by all),
+  k as (select doc_id, string_agg('"' || kind || '":' || n, ',' order by kind) as by_field, sum(n) as total from c group by 1),
+  e as (select doc_id, string_agg(entry, ',' order by "start") as entries from a group by 1)
+  select d.doc_id, '{{"doc":' || d.doc_id || ',"findings":{{"total":' || coalesce(k.total, 0)::bigint || ',"by_field":{{' || coalesce(k.by_field, '') || '}}}},"masked_spans":[' || coalesce(e.entries, '') || ']}}' as audit
+  from documents d left join k using (doc_id) left join e using (doc_id)""")
 def audit_json(spark, d):
+    return audit.public_json(masked_documents(spark, d))
+
+
+@query()
+def audit_json_with_tokens(spark, d):
     return audit.public_json(masked_documents(spark, d), salt="00" * 16, key=DEMO_KEY)
 
 
@@ -199,11 +232,15 @@ def line_spans(spark, d):
 LINES_SQL = """(select l_orderkey, l_linenumber, cast(l_linenumber * 7 + l_quantity as int) as "start", cast(cast(l_linenumber * 7 + l_quantity as int) + 5 + l_partkey % 12 as int) as "end", cast(l_suppkey % 3 as int) as kind from lineitem)"""
 
 
-@query(f"""select l_orderkey, bucket, l_linenumber, kind from (select *, row_number() over (partition by l_orderkey, bucket order by kind desc, l_linenumber) as rn
-  from (select *, "start" // 20 as bucket from {LINES_SQL})) where rn = 1""")
+@query("""with s as (select l_orderkey, l_linenumber, cast(floor(l_quantity / 20) as int) as bucket, [3, 5, 99][1 + l_suppkey % 3] * 1000.0 + case when l_partkey % 2 = 0 then 100 else 0 end + l_discount as score from lineitem)
+  select l_orderkey, bucket, l_linenumber, round(score, 6)::double as score from (select *, row_number() over (partition by l_orderkey, bucket order by score desc, l_linenumber) as rn from s) where rn = 1""")
 def dedup_priority(spark, d):
-    s = line_spans(spark, d).withColumn("bucket", F.floor(F.col("start") / 20).cast("int"))
-    return resolve.best_of_equal(s, ["l_orderkey", "bucket"], "kind", "l_linenumber").select("l_orderkey", "bucket", "l_linenumber", "kind")
+    """Of spans that share a key the best by field, source and confidence; a field of one's own outranks those built in."""
+    kind = F.element_at(F.array(*map(F.lit, ("stock_code", "phone", "own"))), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    span = F.struct(kind.alias("field_type"), F.when(F.col("l_partkey") % 2 == 0, "rules").otherwise("llm").alias("source"), F.col("l_discount").cast("double").alias("confidence"))
+    s = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.floor(F.col("l_quantity") / 20).cast("int").alias("bucket"), span.alias("span"))
+    scored = s.withColumn("score", resolve.score(F.col("span")))
+    return resolve.best_of_equal(scored, ["l_orderkey", "bucket"], "score", "l_linenumber").select("l_orderkey", "bucket", "l_linenumber", F.round("score", 6).alias("score"))
 
 
 @query(f"""with a as (select *, max("end") over (partition by l_orderkey order by "start", "end" desc rows between unbounded preceding and 1 preceding) as reach from {LINES_SQL}),
@@ -218,15 +255,17 @@ def company_staircase(spark, d):
     return resolve.outermost(line_spans(spark, d), ["l_orderkey"]).select("l_orderkey", "start", "end")
 
 
-@query(f"""with a as (select *, max("end") over (partition by l_orderkey order by "start", "end" desc, kind rows between unbounded preceding and 1 preceding) as reach from (select distinct l_orderkey, "start", "end", kind from {LINES_SQL})),
-  b as (select *, sum(case when reach is null or reach <= "start" then 1 else 0 end) over (partition by l_orderkey order by "start", "end" desc, kind rows unbounded preceding) as island from a)
-  select l_orderkey, min("start") as "start", max("end") as "end" from b group by l_orderkey, island""")
+@query(f"""with a as (select *, max("end") over (partition by l_orderkey order by "start", "end" desc, kind desc rows between unbounded preceding and 1 preceding) as reach from (select distinct l_orderkey, "start", "end", kind from {LINES_SQL})),
+  b as (select *, sum(case when reach is null or reach <= "start" then 1 else 0 end) over (partition by l_orderkey order by "start", "end" desc, kind desc rows unbounded preceding) as island from a)
+  select l_orderkey, min("start") as "start", max("end") as "end", cast(max("end") - min("start") as int) as size,
+    ['phone', 'person_name', 'company_name'][1 + max(case when reach is null or "end" > reach then [1, 2, 0][1 + kind] end)] as field_type from b group by l_orderkey, island""")
 def merge_identity(spark, d):
+    """Joined spans and whose identity they take: a field whose mask hides all goes before one that shows a part, then the higher score."""
     names = F.array(*map(F.lit, ("person_name", "company_name", "phone")))
     one = F.struct(F.get(names, F.col("kind")).alias("field_type"), F.repeat(F.lit("x"), F.col("end") - F.col("start")).alias("value"), "start", "end", F.lit("rules").alias("source"), F.lit(0.9).alias("confidence"))
     grouped = line_spans(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one)).alias("spans"))
     s = grouped.select("l_orderkey", F.explode(resolve.resolve(F.col("spans"))).alias("s"))
-    return s.select("l_orderkey", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    return s.select("l_orderkey", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.length("s.value").alias("size"), F.col("s.field_type").alias("field_type"))
 
 
 def turns(spark, d):
@@ -247,12 +286,12 @@ def block_offsets(spark, d):
 
 
 def turn_spans(spark, d):
-    b = turns(spark, d).filter("char_start >= 0 and length(text) > 3")
+    b = turns(spark, d).filter("char_start >= 0")
     mid = (F.col("char_start") + F.floor(F.length("text") / 2)).cast("int")
     return b.select("doc_id", F.lit("phone").alias("field_type"), mid.alias("start"), (mid + F.length("text") + 5).alias("end"), F.lit("").alias("value"))
 
 
-TURN_SPANS_SQL = f"""(select doc_id, char_start + length(text) // 2 as "start", char_start + length(text) // 2 + length(text) + 5 as "end" from {TURNS_SQL} where char_start >= 0 and length(text) > 3)"""
+TURN_SPANS_SQL = f"""(select doc_id, char_start + length(text) // 2 as "start", char_start + length(text) // 2 + length(text) + 5 as "end" from {TURNS_SQL} where char_start >= 0)"""
 
 
 @query(f"""select s.doc_id, cast(s."start" as int) as "start", b.ord as block_ord, coalesce(b.page, 1) as page from {TURN_SPANS_SQL} s left join {TURNS_SQL} b on s.doc_id = b.doc_id and b.char_start >= 0 and s."start" >= b.char_start and s."start" < b.char_end""")
@@ -295,12 +334,27 @@ def chunk_blocks(spark, d):
     return documents.chunks(turns(spark, d), size=200)
 
 
+@query(f"""select doc_id, cast(sum(length(text)) + (count(*) - 1) * 2 as bigint) as chars, any_value(p) as pages, any_value(n) as n_blocks, cast(sum(len(regexp_extract_all(text, '{EMAIL}'))) as bigint) as emails
+  from {TURNS_SQL} join (select conv_id as doc_id, count(*) as n, cast(max(turn) + 1 as int) as p from conversations group by 1) using (doc_id) where not meta group by doc_id""")
+def document_statistics(spark, d):
+    only = fields("email")
+    b = turns(spark, d).withColumn("spans", resolve.resolve(detect.rule_spans(F.col("text"), only), only))
+    return documents.statistics(b, only).select("doc_id", "chars", "pages", "n_blocks", F.col("by_field")["email"].alias("emails"))
+
+
 @query("""select event_id, '$.' || k as path, json_extract_string(props, '$.' || k) as text from (select event_id, props, unnest(json_keys(props)) as k from events)""")
 def json_leaves(spark, d):
     e = read(spark, d, "events").select("event_id", "props")
     return jsonleaves.leaves(e, "event_id", "props").select(F.col("doc_id").alias("event_id"), jsonleaves.path_text(F.col("path")).alias("path"), "text")
 
 
+@query(f"""select c_custkey as doc_id, path, v.text, kind, cast(1 as int) as page, cast(n as int) as leaf_no from {KEYED_SQL}, lateral (values
+  ('$.n', cast(c_custkey as varchar), 'int', 0), ('$.list[0].phone', phone, 'str', 1), ('$.text', 'a ' || phone || ' b', 'str', 2), ('$.num', phone, 'int', 3)) v(path, text, kind, n)""")
+def json_leaves_nested(spark, d):
+    found = jsonleaves.leaves(json_customers(spark, d))
+    return found.select("doc_id", jsonleaves.path_text(F.col("path")).alias("path"), "text", "kind", "page", "leaf_no")
+
+
 def json_customers(spark, d):
     k = keyed(spark, d)
     return k.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit('{"n": '), F.col("c_custkey").cast("string"), F.lit(', "list": [{"phone": "'), "phone", F.lit('"}, null], "text": "a '), "phone", F.lit(' b", "num": '), "phone", F.lit("}")).alias("json"))
@@ -322,11 +376,29 @@ def recover_json(spark, d):
     return jsonleaves.recover(json_redact(spark, d), jsonleaves.edit_spans(json_edits(spark, d), DEMO_KEY), DEMO_KEY)
 
 
-@query("select doc_id, text from documents where text is not null")
+HITS_SQL = rf"cast(len(regexp_extract_all(text, '{EMAIL}')) + len(regexp_extract_all(text, '{CARD}')) as int)"
+
+
+@query(f"select doc_id, text, coalesce({HITS_SQL}, 0) as restored, cast(0 as int) as unresolved from documents")
 def recover_markdown(spark, d):
-    clean = masked_documents(spark, d)
-    back = recover.markdown(clean.select("doc_id", "masked_text"), audit.spans_of(clean, key=DEMO_KEY), DEMO_KEY)
-    return back.filter("unresolved = 0").select("doc_id", "text")
+    """Masked once; the audit's tokens stay in the row with the text that they belong to."""
+    told = F.transform("spans", lambda s: F.struct(s["out_start"].alias("lo"), s["out_end"].alias("hi"), s["masked"].alias("mask"), crypto.token(s["value"], DEMO_KEY).alias("token")))
+    kept = masked_documents(spark, d).select("doc_id", "masked_text", told.alias("told"))
+    return kept.select("doc_id", recover.put_back(F.col("masked_text"), F.transform("told", lambda s: s.withField("value", crypto.opened(s["token"], DEMO_KEY)))).alias("r")).select("doc_id", "r.*")
+
+
+@query(f"""select doc_id, case when doc_id % 3 = 2 then {MASKED_SQL} else text end as text, case when doc_id % 3 = 2 then 0 else coalesce({HITS_SQL}, 0) end as restored, case when doc_id % 3 = 2 then coalesce({HITS_SQL}, 0) else 0 end as unresolved from documents""")
+def recover_resumed(spark, d):
+    """Documents of three runs with salts of their own, one under another passphrase: its masks stay and count as unresolved."""
+    salts = [f"{k:02x}" * 16 for k in range(3)]
+    secrets = ["secret", "secret", "other"]
+    told = [json.dumps(crypto.public_parameters(s)) for s in salts]
+    clean = masked_documents(spark, d).withColumn("run", F.col("doc_id") % 3)
+    spans = [
+        audit.spans_of(clean.filter(F.col("run") == k), key=crypto.derive_key(secrets[k], salts[k])).withColumn("recovery", F.lit(told[k])) for k in range(3)
+    ]
+    key = crypto.keys_of(F.col("recovery"), told, "secret")
+    return recover.markdown(clean.select("doc_id", "masked_text"), spans[0].unionByName(spans[1]).unionByName(spans[2]), key)
 
 
 @query("select c_custkey, c_name as value, true as sealed, cast(null as varchar) as wrong_key from customer")
@@ -343,21 +415,21 @@ def llm_rematch(spark, d):
     return read(spark, d, "documents").filter("text is not null").select("doc_id", first.alias("value"), F.size(spans).alias("n")).filter("length(value) >= 2")
 
 
-@query("""select doc_id, value, cast(strpos(text, value) - 1 as int) as "at" from documents, (select distinct left(text, 12) as value from benchmark where length(text) > 0) where strpos(text, value) > 0""")
+@query("""select doc_id, value, cast(strpos(documents.text, value) - 1 as int) as "at" from documents, (select distinct text as value from benchmark where length(text) > 0) where strpos(documents.text, value) > 0""")
 def value_containment(spark, d):
-    values = read(spark, d, "benchmark").select(F.left("text", F.lit(12)).alias("value"))
+    values = read(spark, d, "benchmark").select(F.col("text").alias("value"))
     return verify.contained(read(spark, d, "documents").select("doc_id", "text"), values)
 
 
-@query("""select conv_id as doc_id, value, min(turn) as place, count(*) as n from conversations, (select distinct left(text, 9) as value from conversations where turn = 1 and length(text) > 0) where contains(text, value) group by all""")
+@query("""select conv_id as doc_id, value, min(turn) as place, count(*) as n from conversations, (select distinct text as value from conversations where turn = 1 and length(text) > 0) where contains(conversations.text, value) group by all""")
 def verify_leftovers(spark, d):
     c = read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("place"), "text")
-    return verify.leftovers(c, c.filter("place = 1").select(F.left("text", F.lit(9)).alias("value")))
+    return verify.leftovers(c, c.filter("place = 1").select(F.col("text").alias("value")))
 
 
-@query("""select doc_id, value, cast(strpos(text, value) - 1 as int) as "at" from documents, (select distinct left(text, 12) as value from benchmark where length(text) > 0) where strpos(text, value) > 0""")
+@query("""select doc_id, value, cast(strpos(documents.text, value) - 1 as int) as "at" from documents, (select distinct text as value from benchmark where length(text) > 0) where strpos(documents.text, value) > 0""")
 def value_containment_by_grams(spark, d):
-    values = read(spark, d, "benchmark").select(F.left("text", F.lit(12)).alias("value")).filter("length(value) > 0").distinct()
+    values = read(spark, d, "benchmark").select(F.col("text").alias("value")).filter("length(value) > 0").distinct()
     return verify.by_grams(read(spark, d, "documents").select("doc_id", "text"), values, "doc_id", "text")
 
 
@@ -417,19 +489,19 @@ def newline_restore_prose(spark, d):
 OWN = [Field("ip", "address", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])", Mask(template="<ip>")), Field("secret", "token", r"(?<![0-9a-f])[0-9a-f]{40}(?![0-9a-f])", Mask(head=4))]
 
 
-@query(r"""select doc_id, cast(len(list_filter(regexp_extract_all(text, '[0-9.]+'), lambda x: regexp_full_match(x, '([0-9]{1,3}\.){3}[0-9]{1,3}'))) as int) as ips,
-  cast(len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) = 40)) as int) as secrets from documents where text is not null""")
+@query(r"""select doc_id, coalesce(cast(len(list_filter(regexp_extract_all(text, '[0-9.]+'), lambda x: regexp_full_match(x, '([0-9]{1,3}\.){3}[0-9]{1,3}'))) as int), 0) as ips,
+  coalesce(cast(len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) = 40)) as int), 0) as secrets from documents""")
 def custom_fields_ip_token(spark, d):
-    s = resolve.sanitize(read(spark, d, "documents").filter("text is not null"), fields=OWN)
+    s = resolve.sanitize(read(spark, d, "documents"), fields=OWN)
     count = lambda name: F.size(F.filter("spans", lambda x: x["field_type"] == name))
     return s.select("doc_id", count("ip").alias("ips"), count("secret").alias("secrets"))
 
 
-@query("""select doc_id, left(text, 2) || '<a>' || substr(text, 6, 4) || '<c>' || substr(text, 13) as text from documents where length(text) > 20""")
+@query("""select doc_id, left(text, 2) || '<a>' || substr(text, 6, 4) || '<c>' || substr(text, 13) as text from documents""")
 def splice_replacements(spark, d):
     one = lambda a, b, rep: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(rep).alias("rep"))
     repls = F.array(one(9, 12, "<b>"), one(2, 5, "<a>"), one(9, 12, "<c>"), one(3, 4, "<skipped>"))
-    return read(spark, d, "documents").filter("length(text) > 20").select("doc_id", resolve.apply_replacements(F.col("text"), repls).alias("text"))
+    return read(spark, d, "documents").select("doc_id", resolve.apply_replacements(F.col("text"), repls).alias("text"))
 
 
 @query("""select date_trunc('hour', ts) as window_start, 'phone' as field_type, count(*) as n from events group by 1""")
@@ -526,10 +598,10 @@ def make_met():
 
 @query()
 def mosaic_images(spark, d):
-    lines = read(spark, d, "lineitem").filter("l_linenumber = 1")
-    pixels = F.unhex(F.concat(*(F.sha2(F.concat_ws(":", "l_orderkey", F.lit(i)), 256) for i in range(8))))
+    lines = read(spark, d, "lineitem")
+    pixels = F.unhex(F.concat(*(F.sha2(F.concat_ws(":", "l_orderkey", "l_linenumber", F.lit(i)), 256) for i in range(8))))
     box = F.struct(F.lit(0).alias("x0"), F.lit(0).alias("y0"), (F.col("l_partkey") % 20).cast("int").alias("x1"), F.lit(9).alias("y1"), F.lit("face").alias("label"), F.lit(1.0).alias("confidence"))
-    given = lines.select(F.col("l_orderkey").cast("string").alias("image"), F.lit(16).alias("height"), F.lit(16).alias("width"), F.lit(1).alias("channels"), pixels.alias("pixels"), F.array(box).alias("boxes"))
+    given = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("image"), F.lit(16).alias("height"), F.lit(16).alias("width"), F.lit(1).alias("channels"), pixels.alias("pixels"), F.array(box).alias("boxes"))
     return images.mosaics(given, 4)
 
 
@@ -538,8 +610,7 @@ def text_boxes(spark, d):
     phone = F.concat(F.lit("138"), F.lpad((F.col("l_orderkey") % 100000000).cast("string"), 8, "0"))
     box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(110.0).alias("x1"), F.lit(10.0).alias("y1"))
     text = F.when(F.col("l_linenumber") == 1, phone).otherwise(F.col("l_returnflag"))
-    first = read(spark, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey")
-    lines = read(spark, d, "lineitem").join(first, "l_orderkey", "left_semi").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("line_no"), text.alias("text"), F.lit(0.9).alias("score"), box.alias("box"))
+    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("line_no"), text.alias("text"), F.lit(0.9).alias("score"), box.alias("box"))
     found = images.text_boxes(lines, fields("phone"), 0.5)
     b = F.element_at("boxes", 1)
     return found.select("image", "field_type", b["x0"].alias("x0"), b["x1"].alias("x1"))
