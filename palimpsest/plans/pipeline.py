@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,21 +74,20 @@ def run(spark: SparkSession, source: str, out: str, options: Options | None = No
         return files.pending(some, done) if done is not None else some
 
     number = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    parts = [_texts(found(*TEXTS), how), _json(found(".json"), how), _books(found(".xlsx"), how)]
+    # What was found, with the rows it is in: for the artifacts and for the audit.
+    kept: list[DataFrame] = []
+    parts = [_texts(found(*TEXTS), how, kept), _json(found(".json"), how, kept), _books(found(".xlsx"), how, kept)]
     pages = _outputs(spark, found(*LAID_OUT), options)
     if pages is not None:
-        parts.append(_pages(pages, how))
+        parts.append(_pages(pages, how, kept))
     artifacts, spans = parts[0]
     for a, s in parts[1:]:
         artifacts, spans = artifacts.unionByName(a), spans.unionByName(s)
-    artifacts.write.parquet(f"{out}/artifacts/run={number}")
-    token, told = F.lit(None).cast("string"), F.lit(None).cast("string")
-    if options.recoverable:
-        salt = _salt(spark, out) or crypto.new_salt()
-        key = crypto.derive_key(crypto.to_seal(options.passphrase, options.kept(spark, out)), salt)
-        token, told = crypto.token(F.col("value"), key), F.lit(json.dumps(crypto.public_parameters(salt)))
-    spans.withColumn("encrypted_value", token).withColumn("recovery", told).drop("value").write.parquet(f"{out}/audit_spans/run={number}")
-
+    try:
+        _write(spark, out, number, artifacts, spans, options)
+    finally:
+        for df in kept:
+            df.unpersist()
     made = spark.read.parquet(f"{out}/artifacts/run={number}").select("rel", F.lit(True).alias("there"))
     counts = spark.read.parquet(f"{out}/audit_spans/run={number}").groupBy("rel").agg(F.count(F.lit(1)).alias("spans"))
     readable = F.col("kind").isin(*TEXTS, *files.STRUCTURED) | (F.col("kind").isin(LAID_OUT) & F.lit(pages is not None))
@@ -98,6 +98,16 @@ def run(spark: SparkSession, source: str, out: str, options: Options | None = No
     return latest(spark, out)
 
 
+def _write(spark: SparkSession, out: str, number: str, artifacts: DataFrame, spans: DataFrame, options: Options) -> None:
+    artifacts.write.parquet(f"{out}/artifacts/run={number}")
+    token, told = F.lit(None).cast("string"), F.lit(None).cast("string")
+    if options.recoverable:
+        salt = _salt(spark, out) or crypto.new_salt()
+        key = crypto.derive_key(crypto.to_seal(options.passphrase, options.kept(spark, out)), salt)
+        token, told = crypto.token(F.col("value"), key), F.lit(json.dumps(crypto.public_parameters(salt)))
+    spans.withColumn("encrypted_value", token).withColumn("recovery", told).drop("value").write.parquet(f"{out}/audit_spans/run={number}")
+
+
 def latest(spark: SparkSession, out: str) -> DataFrame:
     """The last status of each document; one that was ever finished keeps that until a later run finishes it again."""
     good = F.struct((F.col("status") == "ok").alias("ok"), "run", "status", "spans")
@@ -132,23 +142,31 @@ def _spans(df: DataFrame, unit: Column, path: Column | None = None) -> DataFrame
     return s.select("rel", "unit", "path", "kind", F.col("s.field_type").alias("field_type"), F.col("s.source").alias("source"), F.col("s.value").alias("value"), F.col("s.masked").alias("masked_value"), F.col("s.out_start").alias("masked_start"), F.col("s.out_end").alias("masked_end"))
 
 
-def _texts(found: DataFrame, how: dict) -> tuple[DataFrame, DataFrame]:
+def _kept(df: DataFrame, kept: list[DataFrame]) -> DataFrame:
+    """df, made once and on disk until the run ends; a lost executor's part is made again."""
+    kept.append(df.persist(StorageLevel.DISK_ONLY))
+    return kept[-1]
+
+
+def _texts(found: DataFrame, how: dict, kept: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     docs = found.select(F.col("rel").alias("doc_id"), F.decode("content", "utf-8").alias("text"))
-    clean = resolve.sanitize(docs, **how)
+    clean = _kept(resolve.sanitize(docs, **how).drop("text"), kept)
     return clean.select(F.col("doc_id").alias("rel"), F.lit("text").alias("kind"), F.encode("masked_text", "utf-8").alias("content")), _spans(clean, F.lit("text"))
 
 
-def _json(found: DataFrame, how: dict) -> tuple[DataFrame, DataFrame]:
+def _json(found: DataFrame, how: dict, kept: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     docs = found.select(F.col("rel").alias("doc_id"), F.decode("content", "utf-8").alias("json"))
-    edits = resolve.masked_only(resolve.sanitize(jsonleaves.leaves(docs).filter("error is null"), **how))
-    red = jsonleaves.redact(docs, edits).filter("json is not null")
+    # A file may be one huge array: its elements are work for all.
+    parts = docs.sparkSession.sparkContext.defaultParallelism * 2
+    edits = _kept(resolve.masked_only(resolve.sanitize(jsonleaves.leaves(docs, parts=parts).filter("error is null"), **how)), kept)
+    red = jsonleaves.redact(docs, edits, parts=parts).filter("json is not null")
     return red.select(F.col("doc_id").alias("rel"), F.lit("json").alias("kind"), F.encode("json", "utf-8").alias("content")), _spans(edits, jsonleaves.path_text(F.col("path")), F.col("path"))
 
 
-def _books(found: DataFrame, how: dict) -> tuple[DataFrame, DataFrame]:
+def _books(found: DataFrame, how: dict, kept: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     docs = found.select("rel", "content")
     cells = workbook.cells(docs, "rel")
-    edits = resolve.masked_only(resolve.sanitize(cells.filter("error is null"), **how))
+    edits = _kept(resolve.masked_only(resolve.sanitize(cells.filter("error is null"), **how)), kept)
     values = edits.select("doc_id", F.explode("spans.value").alias("value"))
     readable = docs.join(cells.filter("error is not null").select(F.col("doc_id").alias("rel")), "rel", "left_anti")
     red = workbook.redact(readable, edits, values, "rel")
@@ -166,10 +184,10 @@ def _outputs(spark: SparkSession, found: DataFrame, options: Options) -> DataFra
     return layout.parsed_files(found.select("rel"), told)
 
 
-def _pages(outputs: DataFrame, how: dict) -> tuple[DataFrame, DataFrame]:
+def _pages(outputs: DataFrame, how: dict, kept: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     fields, others = how["fields"], {k: v for k, v in how.items() if k != "fields"}
     found = detect.detect(layout.blocks(outputs), "text", fields, **others)
-    found = found.withColumn("spans", resolve.resolve(F.col("spans"), fields))
+    found = _kept(found.withColumn("spans", resolve.resolve(F.col("spans"), fields)), kept)
     whole, places = documents.markdown(documents.markdown_parts(documents.masked_blocks(found, fields=fields)))
     every = outputs.select("doc_id").distinct().join(whole, "doc_id", "left")
     artifacts = every.select(F.col("doc_id").alias("rel"), F.lit("markdown").alias("kind"), F.encode(F.coalesce("markdown", F.lit("")), "utf-8").alias("content"))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PATH = "array<struct<key:string,idx:int>>"
@@ -53,36 +53,106 @@ def _steps(path: tuple) -> list[dict]:
     return [{"key": p if isinstance(p, str) else None, "idx": None if isinstance(p, str) else p} for p in path]
 
 
-def leaves(df: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:
+ELEMENT = "page int, many boolean, json string, indent string, ending string, error string"
+COLUMNS = ["page", "many", "json", "indent", "ending", "error"]
+BLANK = re.compile(r"[ \t\n\r]*")
+
+
+def _split(raw: str) -> list[str] | None:
+    """The texts of a top-level array's elements; None for other roots and for an array without any. ValueError: no JSON."""
+    decode, text = json.JSONDecoder().raw_decode, raw.removeprefix("﻿")
+    at = BLANK.match(text).end()
+    if not text.startswith("[", at):
+        json.loads(text)
+        return None
+    out: list[str] = []
+    at = BLANK.match(text, at + 1).end()
+    while not text.startswith("]", at):
+        _, end = decode(text, at)
+        out.append(text[at:end])
+        at = BLANK.match(text, end).end()
+        if text.startswith(",", at):
+            at = BLANK.match(text, at + 1).end()
+            if text.startswith("]", at):
+                raise ValueError(f"no element after a comma: char {at}")
+        elif not text.startswith("]", at):
+            raise ValueError(f"no comma between elements: char {at}")
+    if (at := BLANK.match(text, at + 1).end()) < len(text):
+        raise ValueError(f"text after the end: char {at}")
+    return out or None
+
+
+def elements(df: DataFrame, id_col: str = "doc_id", json_col: str = "json", parts: int | None = None) -> DataFrame:
+    """doc_id and ELEMENT: a row for each element of a top-level array (page from 1, many), and one for any other root.
+
+    So a file that is one huge array is many rows. With `parts` they are dealt into that many partitions: what comes
+    after the split is then work for all. Text that is no JSON gives one row with the error.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for doc, raw in zip(pdf["doc_id"], pdf["json"]):
+                if raw is None:
+                    continue
+                look = style(raw.removeprefix("﻿"))
+                try:
+                    found = _split(raw)
+                except (ValueError, RecursionError) as e:
+                    rows = [(None, False, raw, *look, str(e)[:200])]
+                else:
+                    rows = [(1, False, raw, *look, None)] if found is None else [(k, True, x, *look, None) for k, x in enumerate(found, 1)]
+                for lo in range(0, len(rows), 1000):
+                    out = pd.DataFrame(rows[lo : lo + 1000], columns=COLUMNS)
+                    out.insert(0, "doc_id", [doc] * len(out))
+                    yield out.astype({"page": "Int32"})
+
+    out = df.select(F.col(id_col).alias("doc_id"), F.col(json_col).alias("json")).mapInPandas(run, f"doc_id {kind}, {ELEMENT}")
+    return out.repartition(parts) if parts else out
+
+
+def assembled(parts: DataFrame, *sums: str) -> DataFrame:
+    """doc_id, json of documents from their elements' texts (doc_id and ELEMENT), with the sums of further columns."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("page", "json"))), lambda p: p["json"])
+    whole = parts.groupBy("doc_id").agg(texts.alias("t"), *(F.max(c).alias(c) for c in ("many", "indent", "ending")), *(F.sum(c).cast("int").alias(c) for c in sums))
+    lines = F.concat(F.lit("[\n"), "indent", F.array_join("t", ",\n\0"), F.lit("\n]"))
+    laid = F.when(F.col("indent").isNull(), F.concat(F.lit("["), F.array_join("t", ", "), F.lit("]"))).otherwise(F.replace(lines, F.lit("\0"), F.col("indent")))
+    one = F.get("t", F.lit(0))
+    return whole.select("doc_id", F.when(F.col("many"), F.concat(laid, "ending")).otherwise(one).alias("json"), *sums)
+
+
+def _element_dump(data: Any, raw: str, many: bool, indent: str | None) -> str:
+    """An element as it stands in its array; any other root with its own final line break."""
+    if not many:
+        return _dump(data, raw)
+    text = json.dumps(data, ensure_ascii=False, indent=indent)
+    return text.replace("\n", "\n" + indent) if indent else text
+
+
+def leaves(df: DataFrame, id_col: str = "doc_id", json_col: str = "json", parts: int | None = None) -> DataFrame:
     """doc_id, page, leaf_no, path, text, kind, start, end, error of every leaf.
 
     Each element of a top-level array is a page of its own (numbered from 1, also past elements without leaves);
     any other root is page 1. Offsets are those in the page's text, its leaves one to a line. Text that is no JSON
-    gives one row with the error and nothing else.
+    gives one row with the error and nothing else. parts: see elements().
     """
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
-            for doc, raw in zip(pdf["doc_id"], pdf["json"]):
-                if raw is None:
+            for doc, page, many, raw, error in zip(*(pdf[c] for c in ("doc_id", "page", "many", "json", "error"))):
+                if error is not None:
+                    rows.append((doc, None, None, None, None, None, None, None, error))
                     continue
-                try:
-                    data = json.loads(raw.removeprefix("﻿"))
-                except ValueError as e:
-                    rows.append((doc, None, None, None, None, None, str(e)[:200]))
-                    continue
-                many = isinstance(data, list)
-                for page, unit in enumerate(data if many else [data]):
-                    found = walk(unit, (page,) if many else ())
-                    rows += [(doc, page + 1, n, _steps(p), text, k, None) for n, (p, text, k) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["doc_id", "page", "leaf_no", "path", "text", "kind", "error"])
+                at = 0
+                for n, (p, text, k) in enumerate(walk(json.loads(raw.removeprefix("﻿")), (page - 1,) if many else ())):
+                    rows.append((doc, page, n, _steps(p), text, k, at, at + len(text), None))
+                    at += len(text) + 1
+            out = pd.DataFrame(rows, columns=["doc_id", "page", "leaf_no", "path", "text", "kind", "start", "end", "error"])
+            yield out.astype(dict.fromkeys(("page", "leaf_no", "start", "end"), "Int32"))
 
-    out = df.select(F.col(id_col).alias("doc_id"), F.col(json_col).alias("json")).mapInPandas(run, f"doc_id {kind}, {LEAF}, error string")
-    before = Window.partitionBy("doc_id", "page").orderBy("leaf_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.when(F.col("error").isNull(), F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int"))
-    return out.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
+    return elements(df, id_col, json_col, parts).mapInPandas(run, f"doc_id {kind}, {LEAF}, start int, `end` int, error string")
 
 
 def units(df: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:
@@ -100,7 +170,7 @@ def path_text(path: Column) -> Column:
 
 def style(raw: str) -> tuple[str | None, str]:
     """Indent and final line break of a JSON text, by its head."""
-    second = re.match(r"[^\n]*\n([ \t]+)", raw[:4096])
+    second = re.match(r"[^\n]*\n([ \t]+)", raw)
     return second[1] if second else None, "\n" if raw.endswith("\n") else ""
 
 
@@ -133,35 +203,73 @@ def splice(text: str, parts: list) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(df: DataFrame, edits: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:
-    """doc_id, json with masks in place. edits: doc_id, path, spans (leaf-relative, with start, end, masked).
+def redact(df: DataFrame, edits: DataFrame, id_col: str = "doc_id", json_col: str = "json", parts: int | None = None) -> DataFrame:
+    """doc_id, json with masks in place. edits: doc_id, page, path, spans (leaf-relative, with start, end, masked).
 
     Masks go into the leaf as it was where its flat form is what detectors saw, so its line breaks stay, and into
-    its rendering otherwise; numbers and booleans become text. The source's indent and final line break stay.
+    its rendering otherwise; numbers and booleans become text. The source's indent and final line break stay. Nothing
+    of a text that can't be read leaves: its json is null.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    grouped = edits.groupBy("doc_id").agg(F.collect_list(F.struct("path", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["masked"].alias("masked"))).alias("spans"))).alias("edits"))
-    both = df.select(F.col(id_col).alias("doc_id"), F.col(json_col).alias("json")).join(grouped, "doc_id", "left")
+    slim = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["masked"].alias("masked")))
+    grouped = edits.groupBy("doc_id", "page").agg(F.collect_list(F.struct("path", slim.alias("spans"))).alias("edits"))
+    both = elements(df, id_col, json_col, parts).join(grouped, ["doc_id", "page"], "left").select("doc_id", *COLUMNS, "edits")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
-            for raw, changes in zip(pdf["json"], pdf["edits"]):
-                try:
-                    data = json.loads(raw.removeprefix("﻿")) if raw is not None else None
-                except ValueError:
-                    out.append(None)  # nothing of a text that can't be read leaves
+            for many, raw, indent, error, changes in zip(*(pdf[c] for c in ("many", "json", "indent", "error", "edits"))):
+                if error is not None:
+                    out.append(None)
                     continue
+                data = json.loads(raw.removeprefix("﻿"))
                 for e in changes if changes is not None else []:
                     spans = e["spans"]
-                    data = _put(data, _plain(e["path"]), lambda v: splice(v if isinstance(v, str) else rendered(v)[0], spans))
-                out.append(_dump(data, raw) if raw is not None else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "json": out})
-
-    return both.mapInPandas(run, f"doc_id {kind}, json string")
+                    data = _put(data, _plain(e["path"])[int(many) :], lambda v: splice(v if isinstance(v, str) else rendered(v)[0], spans))
+                out.append(_element_dump(data, raw, many, indent))
+            yield pdf[["doc_id", *COLUMNS]].assign(json=out)
+
+    return assembled(both.mapInPandas(run, f"doc_id {kind}, {ELEMENT}"))
+
+
+def _back(data: Any, told: list, source: Any, skip: int) -> tuple[Any, int]:
+    """An element with its values back, all of a leaf or none, and how many came back."""
+    leaves: dict[str, list] = {}
+    for s in told:
+        if s["value"] is not None:
+            leaves.setdefault(json.dumps(_plain(s["path"])[skip:]), []).append(s)
+    done = 0
+    for at, parts in leaves.items():
+        path = json.loads(at)
+        try:
+            node = data
+            for step in path:
+                node = node[step]
+        except (KeyError, IndexError, TypeError):
+            continue
+        if not isinstance(node, str) or any(node[p["start"] : p["end"]] != p["masked_value"] for p in parts):
+            continue
+        text = splice(node, [{"start": p["start"], "end": p["end"], "masked": p["value"]} for p in parts])
+        value: Any = text
+        if source is not None:
+            try:
+                raw = source
+                for step in path:
+                    raw = raw[step]
+                value = raw if isinstance(raw, str) and rendered(raw) == (text, "str") else text
+            except (KeyError, IndexError, TypeError):
+                pass
+        if len(parts) == 1 and text == parts[0]["value"]:
+            try:
+                value = {"int": int, "float": float, "bool": lambda t: t == "true"}.get(parts[0]["kind"], lambda t: value)(text)
+            except ValueError:
+                pass
+        data = _put(data, path, lambda _: value)
+        done += len(parts)
+    return data, done
 
 
-def recover(df: DataFrame, spans: DataFrame, key: bytes | Column, sources: DataFrame | None = None) -> DataFrame:
+def recover(df: DataFrame, spans: DataFrame, key: bytes | Column, sources: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """doc_id, json, restored, unresolved. df: doc_id, json as masked; spans: edit_spans() of the audit.
 
     All masks of a leaf come back, or none. A number or boolean that was masked whole is one again. With sources
@@ -170,56 +278,32 @@ def recover(df: DataFrame, spans: DataFrame, key: bytes | Column, sources: DataF
     from palimpsest.functions import crypto
 
     one = F.struct("path", F.col("masked_start").alias("start"), F.col("masked_end").alias("end"), "masked_value", "kind", crypto.opened(F.col("encrypted_value"), key).alias("value"))
-    both = df.select("doc_id", "json").join(spans.groupBy("doc_id").agg(F.collect_list(one).alias("told")), "doc_id", "left")
-    origin = sources.select("doc_id", F.col("json").alias("source")) if sources is not None else None
-    both = both.join(origin, "doc_id", "left") if origin is not None else both.withColumn("source", F.lit(None).cast("string"))
+    # An element of a top-level array has its number first in its leaves' paths; of other roots, page 1 has them all.
+    page = F.coalesce(F.get("path", F.lit(0))["idx"] + 1, F.lit(1)).alias("page")
+    told = spans.groupBy("doc_id", page).agg(F.collect_list(one).alias("told"))
+    counts = spans.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("all"))
+    both = elements(df, parts=parts).join(told, ["doc_id", "page"], "left")
+    if sources is not None:
+        both = both.join(elements(sources).select("doc_id", "page", F.col("json").alias("source"), F.col("many").alias("same")), ["doc_id", "page"], "left")
+    else:
+        both = both.withColumn("source", F.lit(None).cast("string")).withColumn("same", F.lit(None).cast("boolean"))
     kind = df.schema["doc_id"].dataType.simpleString()
 
-    def restored(data: Any, told: list, source: Any) -> tuple[Any, int]:
-        leaves: dict[str, list] = {}
-        for s in told:
-            if s["value"] is not None:
-                leaves.setdefault(json.dumps(_plain(s["path"])), []).append(s)
-        done = 0
-        for at, parts in leaves.items():
-            path = json.loads(at)
-            try:
-                node = data
-                for step in path:
-                    node = node[step]
-            except (KeyError, IndexError, TypeError):
-                continue
-            if not isinstance(node, str) or any(node[p["start"] : p["end"]] != p["masked_value"] for p in parts):
-                continue
-            text = splice(node, [{"start": p["start"], "end": p["end"], "masked": p["value"]} for p in parts])
-            value: Any = text
-            if source is not None:
-                try:
-                    raw = source
-                    for step in path:
-                        raw = raw[step]
-                    value = raw if isinstance(raw, str) and rendered(raw) == (text, "str") else text
-                except (KeyError, IndexError, TypeError):
-                    pass
-            if len(parts) == 1 and text == parts[0]["value"]:
-                try:
-                    value = {"int": int, "float": float, "bool": lambda t: t == "true"}.get(parts[0]["kind"], lambda t: value)(text)
-                except ValueError:
-                    pass
-            data = _put(data, path, lambda _: value)
-            done += len(parts)
-        return data, done
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = []
-            for doc, raw, told, src in zip(pdf["doc_id"], pdf["json"], pdf["told"], pdf["source"]):
+            out, restored = [], []
+            for many, raw, indent, error, told, src, same in zip(*(pdf[c] for c in ("many", "json", "indent", "error", "told", "source", "same"))):
                 told = [] if told is None else list(told)
-                data, n = restored(json.loads(raw), told, json.loads(src) if src else None)
-                rows.append((doc, _dump(data, raw), n, len(told) - n))
-            yield pd.DataFrame(rows, columns=["doc_id", "json", "restored", "unresolved"])
-
-    return both.mapInPandas(run, f"doc_id {kind}, json string, restored int, unresolved int")
+                if error is not None or not told:
+                    data, n = (None if error is not None else json.loads(raw.removeprefix("﻿"))), 0
+                else:
+                    data, n = _back(json.loads(raw.removeprefix("﻿")), told, json.loads(src) if src and same == many else None, int(many))
+                out.append(raw if error is not None else _element_dump(data, raw, many, indent))
+                restored.append(n)
+            yield pdf[["doc_id", *COLUMNS]].assign(json=out, restored=restored)
+
+    whole = assembled(both.select("doc_id", *COLUMNS, "told", "source", "same").mapInPandas(run, f"doc_id {kind}, {ELEMENT}, restored int"), "restored")
+    return whole.join(counts, "doc_id", "left").select("doc_id", "json", "restored", (F.coalesce("all", F.lit(0)) - F.col("restored")).alias("unresolved"))
 
 
 def edit_spans(edits: DataFrame, key: bytes) -> DataFrame:

@@ -323,3 +323,24 @@ def test_stream_writes_each_row_once(spark, tmp_path):
         stream(spark.readStream.schema("doc_id int, text string").parquet(src), out, str(tmp_path / "cp"), fields=select(DEFAULTS, ["phone"])).awaitTermination()
     rows = spark.read.parquet(out).collect()
     assert [(r.doc_id, r.masked_text) for r in rows] == [(1, "tel 138****5678")] and "text" not in rows[0]
+
+
+@pytest.mark.parametrize("indent, end", [(None, ""), ("  ", "\n"), ("\t", "")])
+def test_large_arrays_are_rows_of_elements(spark, indent, end):
+    data = [{"p": "call 13812345678\nnow", "q": [1, {"r": 13900001111}], "e": {}, "l": []}, "13812345679", [], None, {"k": "é {[,]}"}, 13812345670]
+    raw = json.dumps(data, ensure_ascii=False, indent=indent) + end
+    docs = spark.createDataFrame([(1, raw), (2, "[]"), (3, " [ ] "), (4, '{"a": "13812345678"}'), (5, "[1,]"), (6, "[1 2]"), (7, "[1] x"), (8, None), (9, '"13812345678"')], "doc_id int, json string")
+    fields = select(DEFAULTS, ["phone"])
+    for parts in (None, 3):
+        found = jsonleaves.elements(docs, parts=parts).collect()
+        assert sorted((r.doc_id, r.page) for r in found if r.error is None) == [*((1, k) for k in range(1, 7)), (2, 1), (3, 1), (4, 1), (9, 1)]
+        assert {r.doc_id for r in found if r.error} == {5, 6, 7}
+        edits = resolve.masked_only(resolve.sanitize(jsonleaves.leaves(docs, parts=parts).filter("error is null"), fields=fields))
+        red = {r.doc_id: r.json for r in jsonleaves.redact(docs, edits, parts=parts).collect()}
+        want = json.loads(json.dumps(data).replace("13812345678", "138****5678").replace("13812345679", "138****5679").replace("13900001111", '"139****1111"').replace("13812345670", '"138****5670"'))
+        assert red[1] == json.dumps(want, ensure_ascii=False, indent=indent) + end
+        assert (red[2], red[4], red[9]) == ("[]", '{"a": "138****5678"}', '"138****5678"') and red[5] is red[6] is red[7] is None
+        masked = spark.createDataFrame([(k, v) for k, v in red.items() if v is not None], "doc_id int, json string")
+        back = {r.doc_id: r for r in jsonleaves.recover(masked, jsonleaves.edit_spans(edits, KEY), KEY, docs, parts=parts).collect()}
+        assert back[1].json == raw and (back[1].restored, back[1].unresolved) == (4, 0)
+        assert back[4].json == '{"a": "13812345678"}' and back[9].json == '"13812345678"'
