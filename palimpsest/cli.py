@@ -8,7 +8,8 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from palimpsest.plans import pipeline
+from palimpsest.operators import models
+from palimpsest.plans import config, pipeline
 from palimpsest.sources import files
 
 
@@ -32,6 +33,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--parsed", help="folder of a layout parser's output, for documents of pages")
     p.add_argument("--parser", help="module:function that makes such output from a file's bytes and suffix")
     p.add_argument("--findings", help="module:function from a column of texts to a column of spans of another detector")
+    p.add_argument("--models", help="YAML file of language models (models: {name: {url, model, key, ...}}, default: name)")
+    p.add_argument("--model", help="name of the model that is asked about texts, beside the rules; default: the file's")
+    p.add_argument("--requirements", default="", help="further requirements for the model")
+    p.add_argument("--chunk-size", type=int, default=6000, help="characters of text in a call, about")
     p.add_argument("--files", help="folder for the results as files: artifacts with their audits, or what was restored")
     p.add_argument("--summary", action="store_true", help="print the totals as JSON")
     return p
@@ -64,6 +69,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     options = pipeline.Options(
         _list(args.fields), args.fields_file, not args.no_checksums, args.recoverable, args.key, args.key_file, not args.redo, args.surnames,
         args.parsed, _named(args.parser), _named(args.findings),
+        models.chat(**config.models(args.models, args.model)) if args.models else None, args.requirements, args.chunk_size,
     )
     status = pipeline.run(spark, args.source, args.out, options)
     if args.files:

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import json
 import re
+import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -64,6 +67,51 @@ def parse(answer: str | None) -> list[dict]:
     return [{"field_type": str(x["field_type"]), "value": str(x["value"])} for x in rows if isinstance(x, dict) and x.get("field_type") and x.get("value")]
 
 
+def chat(url: str, model: str, key: str = "", timeout: float = 180.0, tries: int = 3, **settings) -> Callable[[], Provider]:
+    """Makes providers for a service with the usual chat interface: POST <url>/chat/completions, with further settings of a request.
+
+    A call is repeated where the service is busy or out of reach, with a longer wait each time; what it refuses is an
+    error at once. The key is sent to the service alone and is in no error.
+    """
+
+    def make() -> Provider:
+        def call(system: str, user: str) -> str:
+            messages = [{"role": "system", "content": system}, {"role": "user", "content": user}]
+            body = json.dumps({"model": model, "messages": messages, "temperature": 0, **settings}).encode()
+            headers = {"Content-Type": "application/json", **({"Authorization": f"Bearer {key}"} if key else {})}
+            for left in range(tries - 1, -1, -1):
+                try:
+                    asked = urllib.request.Request(f"{url.rstrip('/')}/chat/completions", body, headers)
+                    with urllib.request.urlopen(asked, timeout=timeout) as answer:
+                        return json.loads(answer.read())["choices"][0]["message"]["content"] or ""
+                except urllib.error.HTTPError as e:
+                    if not left or e.code not in (408, 409, 429) and e.code < 500:
+                        raise RuntimeError(f"the service answered {e.code}") from None
+                except (urllib.error.URLError, TimeoutError):
+                    if not left:
+                        raise
+                time.sleep(2.0 ** (tries - left - 1) / 4)
+            raise AssertionError("not reached")
+
+        return call
+
+    return make
+
+
+def text_chunks(docs: DataFrame, size: int = 6000) -> DataFrame:
+    """doc_id, base, chunk of texts (doc_id, text): pieces of about `size` characters, cut at good places."""
+    from palimpsest.operators.documents import cuts
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [(d, a, t[a:b]) for d, t in zip(pdf["doc_id"], pdf["text"]) if t for a, b in cuts(t, size) if t[a:b].strip()]
+            yield pd.DataFrame(rows, columns=["doc_id", "base", "chunk"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, base int, chunk string")
+
+
 def ask(chunks: DataFrame, make_provider: Callable[[], Provider], fields: Iterable[Field], requirements: str = "") -> DataFrame:
     """chunks (doc_id, base, chunk) with findings and error: one call for each chunk."""
     system = system_prompt(fields, requirements)

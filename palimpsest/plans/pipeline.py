@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import crypto
-from palimpsest.operators import audit, detect, documents, recover, resolve
+from palimpsest.operators import audit, detect, documents, models, recover, resolve
 from palimpsest.operators.specs import Field, load, select
 from palimpsest.sources import files, jsonleaves, layout, workbook
 
@@ -31,7 +31,9 @@ class Options:
     """fields, fields_file, surnames, verify_checksums: what is looked for. recoverable, passphrase, keyfile: whether and how
     values can come back. skip_existing: whether finished documents are passed over. parsed: a folder of a layout parser's
     output; parser: a function that makes such output from a file's bytes and suffix (page model, content list; JSON texts or
-    None). findings: a column from texts to spans of another detector, beside the rules."""
+    None). findings: a column from texts to spans of another detector, beside the rules. provider,
+    requirements, chunk_size: makes a language model that is asked about texts in chunks, beside the rules; a text of which
+    a chunk got no answer is `failed`."""
 
     fields: list[str] | None = None
     fields_file: str | None = None
@@ -44,6 +46,9 @@ class Options:
     parsed: str | None = None
     parser: Callable[[bytes, str], tuple[str | None, str | None]] | None = None
     findings: Callable[[Column], Column] | None = None
+    provider: Callable[[], models.Provider] | None = None
+    requirements: str = ""
+    chunk_size: int = 6000
 
     def chosen(self) -> list[Field]:
         return select(load(self.fields_file), self.fields)
@@ -76,7 +81,7 @@ def run(spark: SparkSession, source: str, out: str, options: Options | None = No
     number = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     # What was found, with the rows it is in: for the artifacts and for the audit.
     kept: list[DataFrame] = []
-    parts = [_texts(found(*TEXTS), how, kept), _json(found(".json"), how, kept), _books(found(".xlsx"), how, kept)]
+    parts = [_texts(found(*TEXTS), how, kept, options), _json(found(".json"), how, kept), _books(found(".xlsx"), how, kept)]
     pages = _outputs(spark, found(*LAID_OUT), options)
     if pages is not None:
         parts.append(_pages(pages, how, kept))
@@ -148,8 +153,14 @@ def _kept(df: DataFrame, kept: list[DataFrame]) -> DataFrame:
     return kept[-1]
 
 
-def _texts(found: DataFrame, how: dict, kept: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+def _texts(found: DataFrame, how: dict, kept: list[DataFrame], options: Options) -> tuple[DataFrame, DataFrame]:
     docs = found.select(F.col("rel").alias("doc_id"), F.decode("content", "utf-8").alias("text"))
+    if options.provider is not None:
+        asked = _kept(models.ask(models.text_chunks(docs, options.chunk_size), options.provider, how["fields"], options.requirements), kept)
+        docs = docs.join(asked.filter("error is not null").select("doc_id").distinct(), "doc_id", "left_anti")
+        docs = models.hybrid(docs, asked, how["fields"])
+        more = how.get("findings")
+        how = how | {"findings": F.col("findings") if more is None else F.concat(more, "findings")}
     clean = _kept(resolve.sanitize(docs, **how).drop("text"), kept)
     return clean.select(F.col("doc_id").alias("rel"), F.lit("text").alias("kind"), F.encode("masked_text", "utf-8").alias("content")), _spans(clean, F.lit("text"))
 

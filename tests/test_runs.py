@@ -102,6 +102,45 @@ def test_documents_of_pages_and_results_as_files(spark, tmp_path, capsys):
     assert {r.rel for r in status.filter("status = 'ok'").collect()} == {"sub/d.pdf", "sub/d.json", "e.docx"}
 
 
+def test_a_model_beside_the_rules(spark, tmp_path, capsys):
+    """Over a service of this test: a busy answer first, findings, and a refusal that fails its document."""
+    import http.server
+    import threading
+
+    seen = []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            told = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            user = told["messages"][1]["content"]
+            seen.append((self.path, self.headers["Authorization"], told["model"], user))
+            code = 503 if sum(s[3] == user for s in seen) == 1 else 400 if "refuse" in user else 200
+            found = [{"field_type": "person_name", "value": "Ann Lee"}] if "Ann" in user else []
+            body = json.dumps({"choices": [{"message": {"content": json.dumps({"findings": found})}}]}).encode()
+            self.send_response(code)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        src, out, made = tmp_path / "in", str(tmp_path / "out"), tmp_path / "files"
+        src.mkdir()
+        (src / "a.txt").write_text("Ann Lee calls 13812345678")
+        (src / "b.txt").write_text("refuse this")
+        (tmp_path / "models.yaml").write_text(f"default: m\nmodels:\n  m: {{url: 'http://127.0.0.1:{server.server_port}/v1', model: tiny, key: k}}\n")
+        assert cli.main([str(src), out, "--models", str(tmp_path / "models.yaml"), "--files", str(made)], spark) == 1
+    finally:
+        server.shutdown()
+    assert "failed: 1 ok: 1" in capsys.readouterr().out
+    assert (made / "a" / "sanitized.md").read_text() == "*** calls 138****5678" and not (made / "b").exists()
+    assert {s[:3] for s in seen} == {("/v1/chat/completions", "Bearer k", "tiny")}
+
+
 def test_an_image_that_the_model_fails_on_is_an_error(spark):
     from palimpsest.operators import images
 
