@@ -151,7 +151,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == seen or not mark["n"]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            # Stars: the centre has no edge to a smaller node, and names itself.
+            centres = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+            return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(centres)
         seen = mark
         # Large star: every node's larger neighbours go to the smallest of its neighbourhood.
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

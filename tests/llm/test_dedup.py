@@ -114,6 +114,30 @@ def test_a_list_of_all_its_members():
     assert np.bitwise_count(a ^ b).max() == 2
 
 
+def test_every_node_has_a_label(spark):
+    edges = spark.createDataFrame([(0, 1), (1, 2), (9, 5), (-4, 7), (3, -4)], "a long, b long")
+    want = [(-4, -4), (0, 0), (1, 0), (2, 0), (3, -4), (5, 5), (7, -4), (9, 5)]
+    assert sorted(map(tuple, simhash.components(edges).collect())) == want
+
+
+def test_texts_that_differ_in_a_word_are_one_component(spark):
+    """Linked but different fingerprints: whichever of them is the least, all rows have the smallest doc_id of all."""
+    import random
+
+    rnd = random.Random(3)
+    rows = []
+    for g in range(12):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(1500)]
+        for i in rnd.sample(range(4), 4):
+            at = rnd.randrange(1500)
+            rows.append((4 * g + i, " ".join([*words[:at], f"other{i}", *words[at + 1 :]])))
+    fps = [fingerprint(t) for _, t in rows]
+    want = {d: c for (d, _), c in zip(rows, brute(fps, [d for d, _ in rows]))}
+    assert sum(d != c for d, c in want.items()) > 5 and len(set(fps)) > 24
+    got = simhash.near_duplicates(frame(spark, [(*r, None) for r in rows]).repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
     assert {r.label for r in simhash.components(edges).collect()} == {0}
