@@ -5,8 +5,8 @@ order of frequency, ties in order of code points. A document's language is the o
 by out-of-place distance: the sum over the document's n-grams of the difference of ranks, or TOP where the
 profile lacks the n-gram. The score is 1 minus that distance over the largest possible one.
 
-Profiles are fitted on about SAMPLE documents of each language (all, where it has fewer), chosen by a hash
-of doc_id: a documented bound. Prediction reads whole texts.
+Profiles are fitted on all documents with a language, and the least score of a language is taken from all of
+them. Fitting and prediction read whole texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0; a tie of distances goes to
 the first language in alphabetical order; without any training document everything is `und`; rows are
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from palimpsest.llm import common
 
 TOP = 400
-#: Documents of each language that profiles are fitted on, about.
-SAMPLE = 1500
+#: Characters counted together in fitting; distinct n-grams that a task holds, about.
+TOGETHER, HELD = 4 * common.BATCH_CHARS, 1_000_000
+#: Ranges of scores that are counted on the way to a quantile.
+RANGES = 1 << 16
 UNKNOWN = "und"
 #: A text is in none of the languages if its score is under SHARE of what all but LEAST of the fitting documents have.
 SHARE, LEAST = 0.55, 0.001
@@ -92,43 +94,87 @@ class Profiles:
         return self.languages[best], float(1 - away[best] / (self.top * len(own)))
 
 
-def sampled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[DataFrame, list[str]]:
-    """About `sample` documents of each language (doc_id, text, lang), and the languages."""
-    docs = common.texts(df, id_col, text_col, F.col(lang_col).alias("lang")).filter("lang is not null and text <> ''")
-    # As many rows as there are languages.
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return docs, []
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))))[F.col("lang")]
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    return docs.filter(place < share), sorted(sizes)
+def fitting(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents that can be learnt from: doc_id, text, lang."""
+    return common.texts(df, id_col, text_col, F.col(lang_col).alias("lang")).filter("lang is not null and text <> ''")
+
+
+def at_rank(scores: DataFrame, rank: int) -> float:
+    """The score at a rank (from 0) of all in column score (0 to 1), in ascending order."""
+    place = F.least(F.floor(F.col("score") * RANGES), F.lit(RANGES - 1))
+    # RANGES rows at most; then those of one range. Scores are fractions with denominators up to TOP * TOP in steps of TOP,
+    # so there are fewer than a thousand different ones in a range, however many documents there are.
+    before = 0
+    for r in scores.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).orderBy("place").collect():
+        if before + r["n"] > rank:
+            break
+        before += r["n"]
+    for s in scores.filter(place == r["place"]).groupBy("score").agg(F.count(F.lit(1)).alias("n")).orderBy("score").collect():
+        before += s["n"]
+        if before > rank:
+            break
+    return s["score"]
+
+
+def quantile(scores: DataFrame, share: float) -> float:
+    """The exact quantile of column score, between two scores in proportion; 0 if there are none."""
+    n = scores.count()
+    if not n:
+        return 0.0
+    at = share * (n - 1)
+    low = at_rank(scores, int(at))
+    return low + (at_rank(scores, min(int(at) + 1, n - 1)) - low) * (at - int(at))
 
 
-def floor(df: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> float:
+def floor(df: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
     """The least score of a text in one of the languages: far below those of the documents that profiles are fitted on."""
-    docs, languages = sampled(df, id_col, text_col, lang_col, sample)
-    if not languages:
-        return 0.0
-    scores = identify(docs, profiles).filter(F.col("lang_pred") != UNKNOWN)
-    return SHARE * (scores.agg(F.percentile("score", F.lit(LEAST))).first()[0] or 0.0)
+    scores = identify(fitting(df, id_col, text_col, lang_col), profiles).filter(F.col("lang_pred") != UNKNOWN).select("score")
+    return SHARE * quantile(common.table(scores, "scores"), LEAST)
+
 
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of counts of n-grams."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
+    by = np.argsort(keys, kind="stable")
+    keys, sizes = counted(keys[by])
+    return keys, common.sums(counts[by], sizes)
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top: int = TOP, sample: int = SAMPLE) -> dict[str, list[int]]:
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top: int = TOP) -> dict[str, list[int]]:
     """The profile of each language of the given training documents (rows without text or language are passed over)."""
-    docs, languages = sampled(df, id_col, text_col, lang_col, sample)
-    if not languages:
-        return {}
+    docs = fitting(df, id_col, text_col, lang_col)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, values in common.batches(it):
-            langs = batch.column("lang").to_pylist()
-            for lang in dict.fromkeys(langs):
-                found = np.sort(np.concatenate([grams(t) for t, x in zip(values, langs, strict=True) if x == lang]))
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                keys, counts = merged(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(counts)], names=["lang", "gram", "n"])
+
+        for batch, values in common.batches(it, limit=TOGETHER):
+            texts: dict[str, list[np.ndarray]] = {}
+            for text, lang in zip(values, batch.column("lang").to_pylist(), strict=True):
+                texts.setdefault(lang, []).append(grams(text))
+            for lang, found in texts.items():
+                found = np.concatenate(found)
                 if len(found):
-                    keys, counts = counted(found)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
+                    found.sort()
+                    held.setdefault(lang, []).append(counted(found))
+                    size += len(held[lang][-1][0])
+            if size > HELD:
+                held = {lang: [merged(parts)] for lang, parts in held.items()}
+                size = sum(len(parts[0][0]) for parts in held.values())
+                if 2 * size > HELD:
+                    yield from done()
+                    held, size = {}, 0
+        yield from done()
 
     parts = docs.mapInArrow(run, "lang string, gram long, n long")
     counts = common.table(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    # As many rows as there are languages.
+    languages = sorted(r["lang"] for r in docs.select("lang").distinct().collect())
     # `top` rows of each language reach the driver.
     return {
         lang: [r["gram"] for r in counts.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(top).collect()]

@@ -106,3 +106,35 @@ def test_odd_rows_and_empty_table(odd, empty, spark):
     assert langid.fit(empty) == {}
     assert langid.identify(empty, model).collect() == []
     assert {r.lang_pred for r in langid.held_out(frame(spark, [(1, "abc", None), (2, None, "en")])).collect()} == {"und"}
+
+
+def test_profiles_are_of_all_documents(spark, monkeypatch):
+    """More documents of a language than any sample: the profile is that of all texts, however the counts are put together."""
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(7)
+    rows = [(i, "".join(rnd.choice("abcdefghijk  ") for _ in range(30)), "xy"[i % 3 == 0]) for i in range(6000)]
+    docs = frame(spark, rows).repartition(3)
+    for held in (langid.HELD, 50):
+        monkeypatch.setattr(langid, "HELD", held)
+        got = langid.fit(docs)
+        for lang in "xy":
+            found = np.sort(np.concatenate([langid.grams(t) for _, t, x in rows if x == lang]))
+            assert got[lang] == langid.ranked(*langid.counted(found)).tolist()
+
+
+def test_the_floor_is_from_the_scores_of_all_documents(spark):
+    import numpy as np
+
+    rows = [(i, "ab cab bac" if i % 5 else f"{'ab ' * (i % 7)}{'cd' * (i % 11)}{'ef' * (i % 3)}", "x") for i in range(5000)]
+    docs = frame(spark, rows).repartition(3)
+    model = langid.fit(docs)
+    p = langid.Profiles(model)
+    scores = [s for lang, s in (p.predict(t) for _, t, _ in rows) if lang != "und"]
+    assert abs(langid.floor(docs, model) - langid.SHARE * np.quantile(scores, langid.LEAST)) < 1e-12
+    table = spark.createDataFrame([(float(x),) for x in scores], "score double")
+    for share in (0.0, 0.001, 0.3, 0.77, 1.0):
+        assert abs(langid.quantile(table, share) - np.quantile(scores, share)) < 1e-12
+    assert langid.quantile(table.filter("score < 0"), 0.5) == 0.0
