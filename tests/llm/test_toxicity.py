@@ -216,3 +216,46 @@ def test_viterbi_finds_the_best_words_of_a_run(english):
         run = " ".join("".join(rnd.choice("idotmrnyoue10$") for _ in range(rnd.randint(1, 2))) for _ in range(rnd.randint(2, 5)))
         ways = spaced_brute(run, english)
         assert ways[toxicity.decode(run, english)] == pytest.approx(max(ways.values()))
+
+
+def test_learns_from_all_labelled_documents(spark, monkeypatch):
+    """More labelled documents than any sample: counts are those of all of them, however they are put together."""
+    from collections import Counter
+
+    rnd = random.Random(11)
+    rows = [(i, f"{rnd.choice(WORDS)} {rnd.choice(['idiot', 'mann', 'w' + 'x' * (i % 2) + 'yz']) if i % 10 == 0 else rnd.choice(WORDS)}") for i in range(24_000)]
+    labels = {i: int(i % 10 == 0) for i, _ in rows}
+    docs = frame(spark, [(*r, None) for r in rows]).repartition(3)
+    told = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    grams, has = Counter(), (Counter(), Counter())
+    for i, t in rows:
+        for w in t.split():
+            p = "\x02\x02" + w + "\x02"
+            grams.update(p[j : j + 3] for j in range(len(p) - 2))
+        has[labels[i]].update({*t.split(), *("^" + w[:5] for w in t.split())})
+    for held in (toxicity.HELD, 10):
+        monkeypatch.setattr(toxicity, "HELD", held)
+        model = toxicity.fit(docs, told)
+        assert model.sizes == (21_600, 2_400)
+        assert model.trigrams == grams
+        assert {"idiot", "^idiot", "mann"} <= model.lexicon.keys()
+        assert all(model.lexicon[k] == (has[1][k], has[0][k]) for k in model.lexicon)
+
+
+def test_runs_of_a_letter_are_decided_as_by_all_paths(letters, english):
+    rnd = random.Random(12)
+    for model in (letters, english):
+        for _ in range(400):
+            token = "".join(rnd.choice("idotmrnyou") * rnd.choice([1, 1, 1, 2, 2, 3, 5]) for _ in range(rnd.randint(1, 7)))
+            assert toxicity.collapse(token, model) == toxicity.decode(token, model)
+
+
+def test_runs_of_short_tokens_are_those_of_patterns():
+    import re
+
+    spaced, short = re.compile(r"(?<!\S)[^\W_](?:\s+[^\W_](?!\S)){2,}"), re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}(?!\S))+")
+    rnd = random.Random(13)
+    for _ in range(500):
+        text = "".join(rnd.choice(["a", "b", "_", "é", "!", "two", "io", " ", " ", " ", "\n", "　", "\x1c", "7"]) for _ in range(rnd.randint(0, 30)))
+        assert toxicity.tokens(text) == text.lower().split() + ["".join(m.split()) for m in spaced.findall(text.lower())]
+        assert toxicity.runs(text) == [" ".join(m.split()) for m in short.findall(text.lower())]
