@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,22 +49,22 @@ def walk(node: Any, path: tuple = ()) -> Iterator[tuple[tuple, str, str]]:
             yield at, *leaf
 
 
-def _steps(path: tuple) -> list[dict]:
-    return [{"key": p if isinstance(p, str) else None, "idx": None if isinstance(p, str) else p} for p in path]
-
-
 ELEMENT = "page int, many boolean, json string, indent string, ending string, error string"
 COLUMNS = ["page", "many", "json", "indent", "ending", "error"]
+ELEMENT_ARROW = dict(zip(COLUMNS, (pa.int32(), pa.bool_(), *[pa.string()] * 4)))
+LEAF_ARROW = {"page": pa.int32(), "leaf_no": pa.int32(), "path": pa.list_(pa.struct({"key": pa.string(), "idx": pa.int32()})), "text": pa.string(), "kind": pa.string(), "start": pa.int32(), "end": pa.int32(), "error": pa.string()}
+#: Rows of a batch on its way out of Python, and their characters: a batch has rows of many documents, and a document's may be in many.
+ROWS, CHARS = 4_000, 4_000_000
+BOM = "﻿"
 BLANK = re.compile(r"[ \t\n\r]*")
 
 
-def _split(raw: str) -> list[str] | None:
-    """The texts of a top-level array's elements; None for other roots and for an array without any. ValueError: no JSON."""
-    decode, text = json.JSONDecoder().raw_decode, raw.removeprefix("﻿")
+def _split(raw: str) -> tuple[list[str] | None, Any]:
+    """The texts of a top-level array's elements; None and the value for other roots and for an array without any. ValueError: no JSON."""
+    decode, text = json.JSONDecoder().raw_decode, raw.removeprefix(BOM)
     at = BLANK.match(text).end()
     if not text.startswith("[", at):
-        json.loads(text)
-        return None
+        return None, json.loads(text)
     out: list[str] = []
     at = BLANK.match(text, at + 1).end()
     while not text.startswith("]", at):
@@ -79,7 +79,7 @@ def _split(raw: str) -> list[str] | None:
             raise ValueError(f"no comma between elements: char {at}")
     if (at := BLANK.match(text, at + 1).end()) < len(text):
         raise ValueError(f"text after the end: char {at}")
-    return out or None
+    return (out, None) if out else (None, [])
 
 
 def elements(df: DataFrame, id_col: str = "doc_id", json_col: str = "json", parts: int | None = None) -> DataFrame:
@@ -90,27 +90,40 @@ def elements(df: DataFrame, id_col: str = "doc_id", json_col: str = "json", part
     """
     kind = df.schema[id_col].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for doc, raw in zip(pdf["doc_id"], pdf["json"]):
-                if raw is None:
-                    continue
-                look = style(raw.removeprefix("﻿"))
-                try:
-                    found = _split(raw)
-                except (ValueError, RecursionError) as e:
-                    rows = [(None, False, raw, *look, str(e)[:200])]
-                else:
-                    rows = [(1, False, raw, *look, None)] if found is None else [(k, True, x, *look, None) for k, x in enumerate(found, 1)]
-                for lo in range(0, len(rows), 1000):
-                    out = pd.DataFrame(rows[lo : lo + 1000], columns=COLUMNS)
-                    out.insert(0, "doc_id", [doc] * len(out))
-                    yield out.astype({"page": "Int32"})
-
-    out = df.select(F.col(id_col).alias("doc_id"), F.col(json_col).alias("json")).mapInPandas(run, f"doc_id {kind}, {ELEMENT}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows, chars = [], [], 0
+            for n, raw in enumerate(batch.column(1).to_pylist()):
+                for row in _elements(raw) if raw is not None else ():
+                    at.append(n)
+                    rows.append(row)
+                    chars += len(row[2])
+                    if len(rows) == ROWS or chars >= CHARS:
+                        yield _batch(batch, at, ELEMENT_ARROW, zip(*rows))
+                        at, rows, chars = [], [], 0
+            if rows:
+                yield _batch(batch, at, ELEMENT_ARROW, zip(*rows))
+
+    out = df.select(F.col(id_col).alias("doc_id"), F.col(json_col).alias("json")).mapInArrow(run, f"doc_id {kind}, {ELEMENT}")
     return out.repartition(parts) if parts else out
 
 
+def _elements(raw: str) -> list[tuple]:
+    """The values of ELEMENT of a text's elements."""
+    look = style(raw.removeprefix(BOM))
+    try:
+        found, _ = _split(raw)
+    except (ValueError, RecursionError) as e:
+        return [(None, False, raw, *look, str(e)[:200])]
+    return [(1, False, raw, *look, None)] if found is None else [(k, True, x, *look, None) for k, x in enumerate(found, 1)]
+
+
+def _batch(source: pa.RecordBatch, at: list[int], columns: dict[str, pa.DataType], values: Iterable) -> pa.RecordBatch:
+    """Rows of many documents in one batch: the doc_id of the source's rows `at`, and the columns' values or arrays."""
+    made = [v if isinstance(v, pa.Array) else pa.array(v, kind) for v, kind in zip(values, columns.values())]
+    return pa.RecordBatch.from_arrays([source.column(0).take(pa.array(at, pa.int64())), *made], ["doc_id", *columns])
+
+
 def assembled(parts: DataFrame, *sums: str) -> DataFrame:
     """doc_id, json of documents from their elements' texts (doc_id and ELEMENT), with the sums of further columns."""
     texts = F.transform(F.array_sort(F.collect_list(F.struct("page", "json"))), lambda p: p["json"])
@@ -137,22 +150,85 @@ def leaves(df: DataFrame, id_col: str = "doc_id", json_col: str = "json", parts:
     gives one row with the error and nothing else. parts: see elements().
     """
     kind = df.schema[id_col].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for doc, page, many, raw, error in zip(*(pdf[c] for c in ("doc_id", "page", "many", "json", "error"))):
+    # Dealt elements are rows of their own; else a text is taken apart and walked in one go.
+    found = elements(df, id_col, json_col, parts) if parts else df.select(F.col(id_col).alias("doc_id"), F.col(json_col).alias("json")).filter("json is not null")
+
+    def roots(batch: pa.RecordBatch) -> Iterator[tuple]:
+        if parts:
+            for i, (page, many, raw, error) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page", "many", "json", "error")))):
+                yield i, page, many, None if error is not None else json.loads(raw.removeprefix(BOM)), error
+            return
+        for i, raw in enumerate(batch.column("json").to_pylist()):
+            try:
+                texts, data = _split(raw)
+            except (ValueError, RecursionError) as e:
+                yield i, None, False, None, str(e)[:200]
+                continue
+            if texts is None:
+                yield i, 1, False, data, None
+            else:
+                for page, text in enumerate(texts, 1):
+                    yield i, page, True, json.loads(text), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = _Leaves(batch)
+            for i, page, many, data, error in roots(batch):
                 if error is not None:
-                    rows.append((doc, None, None, None, None, None, None, None, error))
+                    out.add(i, None, None, None, None, None, None, None, error)
                     continue
                 at = 0
-                for n, (p, text, k) in enumerate(walk(json.loads(raw.removeprefix("﻿")), (page - 1,) if many else ())):
-                    rows.append((doc, page, n, _steps(p), text, k, at, at + len(text), None))
+                for n, (p, text, k) in enumerate(walk(data, (page - 1,) if many else ())):
+                    out.add(i, page, n, p, text, k, at, at + len(text), None)
                     at += len(text) + 1
-            out = pd.DataFrame(rows, columns=["doc_id", "page", "leaf_no", "path", "text", "kind", "start", "end", "error"])
-            yield out.astype(dict.fromkeys(("page", "leaf_no", "start", "end"), "Int32"))
+                    if out.full():
+                        yield out.batch()
+            if out.rows:
+                yield out.batch()
 
-    return elements(df, id_col, json_col, parts).mapInPandas(run, f"doc_id {kind}, {LEAF}, start int, `end` int, error string")
+    return found.mapInArrow(run, f"doc_id {kind}, {LEAF}, start int, `end` int, error string")
+
+
+class _Leaves:
+    """Rows of leaves() on their way into batches."""
+
+    def __init__(self, source: pa.RecordBatch):
+        self.source = source
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: list[tuple] = []
+        self.chars, self.steps = 0, 0
+
+    def add(self, *row) -> None:
+        self.rows.append(row)
+        self.chars += len(row[4] or "")
+        self.steps += len(row[3] or ())
+
+    def full(self) -> bool:
+        return len(self.rows) >= ROWS or self.chars >= CHARS or self.steps >= 16 * ROWS
+
+    def batch(self) -> pa.RecordBatch:
+        at, page, n, paths, *rest = zip(*self.rows)
+        out = _batch(self.source, at, LEAF_ARROW, [page, n, _paths(paths), *rest])
+        self.clear()
+        return out
+
+
+def _paths(paths: Iterable[tuple | None]) -> pa.Array:
+    """Paths as PATH, without an object for each step."""
+    keys: list[str | None] = []
+    places: list[int | None] = []
+    ends: list[int | None] = []
+    for path in paths:
+        ends.append(None if path is None else len(keys))
+        for p in path or ():
+            is_key = isinstance(p, str)
+            keys.append(p if is_key else None)
+            places.append(None if is_key else p)
+    ends.append(len(keys))
+    steps = pa.StructArray.from_arrays([pa.array(keys, pa.string()), pa.array(places, pa.int32())], ["key", "idx"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), steps)
 
 
 def units(df: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:
@@ -175,7 +251,7 @@ def style(raw: str) -> tuple[str | None, str]:
 
 
 def _dump(data: Any, like: str) -> str:
-    indent, end = style(like.removeprefix("﻿"))
+    indent, end = style(like.removeprefix(BOM))
     return json.dumps(data, ensure_ascii=False, indent=indent) + end
 
 
@@ -191,7 +267,7 @@ def _put(data: Any, path: list, change) -> Any:
 
 
 def _plain(path) -> list:
-    return [p["key"] if p["idx"] is None or pd.isna(p["idx"]) else int(p["idx"]) for p in path]
+    return [p["key"] if p["idx"] is None else p["idx"] for p in path]
 
 
 def splice(text: str, parts: list) -> str:
@@ -215,21 +291,27 @@ def redact(df: DataFrame, edits: DataFrame, id_col: str = "doc_id", json_col: st
     grouped = edits.groupBy("doc_id", "page").agg(F.collect_list(F.struct("path", slim.alias("spans"))).alias("edits"))
     both = elements(df, id_col, json_col, parts).join(grouped, ["doc_id", "page"], "left").select("doc_id", *COLUMNS, "edits")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for many, raw, indent, error, changes in zip(*(pdf[c] for c in ("many", "json", "indent", "error", "edits"))):
+            for many, raw, indent, error, changes in zip(*(batch.column(c).to_pylist() for c in ("many", "json", "indent", "error", "edits"))):
                 if error is not None:
                     out.append(None)
                     continue
-                data = json.loads(raw.removeprefix("﻿"))
-                for e in changes if changes is not None else []:
+                data = json.loads(raw.removeprefix(BOM))
+                for e in changes or []:
                     spans = e["spans"]
                     data = _put(data, _plain(e["path"])[int(many) :], lambda v: splice(v if isinstance(v, str) else rendered(v)[0], spans))
                 out.append(_element_dump(data, raw, many, indent))
-            yield pdf[["doc_id", *COLUMNS]].assign(json=out)
+            yield _changed(batch, out)
+
+    return assembled(both.mapInArrow(run, f"doc_id {kind}, {ELEMENT}"))
+
 
-    return assembled(both.mapInPandas(run, f"doc_id {kind}, {ELEMENT}"))
+def _changed(batch: pa.RecordBatch, texts: list[str | None], **more: pa.Array) -> pa.RecordBatch:
+    """doc_id and ELEMENT of a batch with other texts, and further columns."""
+    made = {c: batch.column(c) for c in ("doc_id", *COLUMNS)} | {"json": pa.array(texts, pa.string())} | more
+    return pa.RecordBatch.from_arrays([*made.values()], [*made])
 
 
 def _back(data: Any, told: list, source: Any, skip: int) -> tuple[Any, int]:
@@ -289,20 +371,19 @@ def recover(df: DataFrame, spans: DataFrame, key: bytes | Column, sources: DataF
         both = both.withColumn("source", F.lit(None).cast("string")).withColumn("same", F.lit(None).cast("boolean"))
     kind = df.schema["doc_id"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out, restored = [], []
-            for many, raw, indent, error, told, src, same in zip(*(pdf[c] for c in ("many", "json", "indent", "error", "told", "source", "same"))):
-                told = [] if told is None else list(told)
+            for many, raw, indent, error, told, src, same in zip(*(batch.column(c).to_pylist() for c in ("many", "json", "indent", "error", "told", "source", "same"))):
                 if error is not None or not told:
-                    data, n = (None if error is not None else json.loads(raw.removeprefix("﻿"))), 0
+                    data, n = (None if error is not None else json.loads(raw.removeprefix(BOM))), 0
                 else:
-                    data, n = _back(json.loads(raw.removeprefix("﻿")), told, json.loads(src) if src and same == many else None, int(many))
+                    data, n = _back(json.loads(raw.removeprefix(BOM)), told, json.loads(src) if src and same == many else None, int(many))
                 out.append(raw if error is not None else _element_dump(data, raw, many, indent))
                 restored.append(n)
-            yield pdf[["doc_id", *COLUMNS]].assign(json=out, restored=restored)
+            yield _changed(batch, out, restored=pa.array(restored, pa.int32()))
 
-    whole = assembled(both.select("doc_id", *COLUMNS, "told", "source", "same").mapInPandas(run, f"doc_id {kind}, {ELEMENT}, restored int"), "restored")
+    whole = assembled(both.select("doc_id", *COLUMNS, "told", "source", "same").mapInArrow(run, f"doc_id {kind}, {ELEMENT}, restored int"), "restored")
     return whole.join(counts, "doc_id", "left").select("doc_id", "json", "restored", (F.coalesce("all", F.lit(0)) - F.col("restored")).alias("unresolved"))
 
 
