@@ -1,49 +1,90 @@
 """Which known values are still in texts, exactly.
 
-Up to FEW values (counted first) are one automaton that every task holds. More go by an equi-join on rare
-n-grams: each value is posted under one of its grams (4 characters from length 5 on, 2 from 2 on, itself if
-one), the one that the fewest texts hold; texts meet values by their grams, and the value is then looked for in full.
+Up to FEW values (counted first) are one automaton that every task holds. More go by an equi-join on rare marks. The
+marks of a text are, of each window of as many characters as its class says, the gram with the least hash: a text
+that holds a value has all windows of the value, so it has all its marks too, and these are few of its grams. A value is of
+the class with the longest window that it fills, and is posted under the one of its marks that the fewest texts have;
+texts meet values by their marks, and the value is then looked for in full.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Values, and their characters together, up to which they go to every task.
-FEW, FEW_CHARS = 20_000, 4_000_000
-
-
-def _width(value: Column) -> Column:
-    return F.when(F.length(value) >= 5, 4).when(F.length(value) >= 2, 2).otherwise(1)
-
-
-def _grams(text: Column, width: int) -> Column:
-    """The distinct n-grams of a text, in one pass: a lookahead matches at every character."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)))
+#: Values, and their characters together, up to which they go to the driver and from there to every task.
+FEW, FEW_CHARS = 5_000, 250_000
+#: Classes of values: the characters of a window, and of its grams.
+GRAM = {64: 8, 32: 8, 16: 8, 8: 4, 4: 4, 2: 2, 1: 1}
+#: Rows of a batch of marks.
+ROWS = 100_000
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes whose order says nothing of the text's."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def marks(text: str, window: int) -> np.ndarray:
+    """The distinct least hashes of the grams of all windows of a text; none of a text that fills no window."""
+    h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    if len(h) < window:
+        return np.empty(0, np.int64)
+    h, n = _mixed(h + np.uint64(1)), 1
+    while n < GRAM[window]:
+        h, n = _mixed(h[:-n] * np.uint64(0xD6E8FEB86659FD93) + h[n:]), 2 * n
+    grams, n = window - GRAM[window] + 1, 1
+    while n < grams:
+        step = min(n, grams - n)
+        h, n = np.minimum(h[:-step], h[step:]), n + step
+    # Windows side by side nearly always share theirs.
+    return np.unique(h[np.flatnonzero(np.append(True, h[1:] != h[:-1]))]).view(np.int64)
+
+
+def _marked(df: DataFrame, key: str, text: str, windows: list[int], own: bool) -> DataFrame:
+    """key, window, mark of every row, for all of the windows or (own) for that of its class."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(source, at, found):
+            sizes = [len(m) for _, m in found]
+            wide = np.repeat(np.array([w for w, _ in found], np.int32), sizes)
+            return pa.RecordBatch.from_arrays([source.column(0).take(pa.array(np.repeat(at, sizes))), pa.array(wide), pa.array(np.concatenate([m for _, m in found]))], [key, "window", "mark"])
+
+        for batch in batches:
+            at, found, n = [], [], 0
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                for w in (() if not t else [next(w for w in GRAM if w <= len(t))] if own else windows):
+                    if len(m := marks(t, w)):
+                        at.append(i)
+                        found.append((w, m))
+                        n += len(m)
+                if n >= ROWS:
+                    yield batch_of(batch, at, found)
+                    at, found, n = [], [], 0
+            if found:
+                yield batch_of(batch, at, found)
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, window int, mark long")
 
 
 def by_grams(texts: DataFrame, values: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    known = values.withColumn("w", _width(F.col("value")))
-
-    def spread(df: DataFrame, key: str, text: str, w: int) -> DataFrame:
-        return df.select(key, F.lit(w).alias("w"), F.explode(_grams(F.col(text), w)).alias("gram"))
-
-    def all_widths(make) -> DataFrame:
-        out = make(1)
-        for w in (2, 4):
-            out = out.unionByName(make(w))
-        return out
-
-    grams = all_widths(lambda w: spread(known.filter(F.col("w") == w), "value", "value", w))
-    held = all_widths(lambda w: spread(texts, id_col, text_col, w)).join(grams.select("gram", "w").distinct(), ["gram", "w"], "left_semi")
-    often = held.groupBy("gram", "w").agg(F.count(F.lit(1)).alias("n"))
-    rarest = grams.join(often, ["gram", "w"]).groupBy("value").agg(F.min(F.struct("n", "gram", "w")).alias("m"))
-    posted = rarest.select("value", F.col("m.gram").alias("gram"), F.col("m.w").alias("w"))
-    pairs = held.join(posted, ["gram", "w"]).select(id_col, "value")
+    known = values.select("value").filter("length(value) > 0").distinct().withColumn("name", F.unhex(F.sha2(F.col("value"), 256)))
+    fills = F.coalesce(*(F.when(F.length("value") >= w, w) for w in GRAM))
+    # As many rows as there are classes.
+    windows = sorted(r["w"] for r in known.select(fills.alias("w")).distinct().collect())
+    marks = _marked(known, "name", "value", windows, own=True)
+    held = _marked(texts, id_col, text_col, windows, own=False).join(marks.select("window", "mark").distinct(), ["window", "mark"], "left_semi")
+    often = held.groupBy("window", "mark").agg(F.count(F.lit(1)).alias("n"))
+    rarest = marks.join(often, ["window", "mark"]).groupBy("name").agg(F.min(F.struct("n", "mark", "window")).alias("m"))
+    posted = rarest.select("name", F.col("m.mark").alias("mark"), F.col("m.window").alias("window"))
+    pairs = held.join(posted, ["window", "mark"]).select(id_col, "name").distinct().join(known, "name").drop("name")
     return texts.select(id_col, text_col).join(pairs, id_col).withColumn("at", F.expr(f"locate(value, `{text_col}`)") - 1).filter("at >= 0").select(id_col, "value", "at")
 
 

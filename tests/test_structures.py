@@ -271,6 +271,26 @@ def test_leftover_values(spark, monkeypatch, few):
     assert got == [(1, "abcabcd", 0), (1, "abcd", 3), (1, "张三", 9), (2, "z", 2)]
 
 
+def test_values_of_all_lengths_by_marks(spark):
+    """Every value of every class in every text that has it; a long text has few marks for long values (its grams were nearly as many as its characters)."""
+    import random
+
+    rng = random.Random(5)
+    docs = ["".join(rng.choices("ab 张\U0001f600", k=rng.choice([0, 1, 3, 40, 300, 900]))) for _ in range(60)]
+    cut = lambda n: (lambda d: d[(k := rng.randrange(len(d) - n)) : k + n])(rng.choice([d for d in docs if len(d) > n]))
+    known = {cut(n) for n in (1, 2, 3, 4, 7, 8, 15, 16, 31, 32, 63, 64, 65, 200) for _ in range(3)} | {"a" * 64, "zz", cut(100) + "z"}
+    texts = spark.createDataFrame([*enumerate([*docs, None])], "doc_id int, text string")
+    got = sorted(map(tuple, verify.by_grams(texts, spark.createDataFrame([(v,) for v in known], "value string"), "doc_id", "text").collect()))
+    assert got == sorted((i, v, d.index(v)) for i, d in enumerate(docs) for v in known if v in d) and len(got) > 300
+    assert len(verify.marks("".join(rng.choices("abcdefgh ", k=100_000)), 64)) < 100_000 / 20
+
+
+def test_long_values_do_not_go_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(verify, "by_automaton", lambda *_: pytest.fail("collected"))
+    texts = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("x"), 800), "id", F.lit(".")).alias("text"))
+    assert verify.contained(texts, texts.select(F.col("text").alias("value"))).count() == 400
+
+
 def test_mosaic():
     image = np.arange(64, dtype=np.uint8).reshape(8, 8, 1)
     out = images.mosaic(image, [(0, 0, 4, 4), (6, 6, 20, 20), (30, 30, 40, 40)], factor=2)
