@@ -7,12 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.geometry import line_boxes
 from palimpsest.operators.detect import rule_spans
 
+KEPT = ("image", "height", "width", "channels")
 OBJECT = "struct<x0:int,y0:int,x1:int,y1:int,label:string,confidence:double>"
 
 
@@ -29,31 +31,53 @@ def _nearest(n: int, m: int) -> np.ndarray:
 
 
 def mosaic(pixels: np.ndarray, boxes: list[tuple[int, int, int, int]], factor: int = 16) -> np.ndarray:
-    """A copy with each box's region at one sample for `factor` pixels; later boxes see what earlier ones did."""
+    """A copy with each box's region at one sample for `factor` pixels; later boxes see what earlier ones did.
+
+    pixels may have further axes in front: images of one size with the same boxes.
+    """
     out = pixels.copy()
     for box in boxes:
-        x0, y0, x1, y1 = clipped(box, out.shape[1], out.shape[0])
+        x0, y0, x1, y1 = clipped(box, out.shape[-2], out.shape[-3])
         w, h = x1 - x0, y1 - y0
         if w <= 0 or h <= 0:
             continue
         sw, sh = max(1, w // factor), max(1, h // factor)
         rows, cols = _nearest(h, sh)[_nearest(sh, h)], _nearest(w, sw)[_nearest(sw, w)]
-        out[y0:y1, x0:x1] = out[y0:y1, x0:x1][rows][:, cols]
+        out[..., y0:y1, x0:x1, :] = out[..., y0:y1, x0:x1, :][..., rows, :, :][..., cols, :]
     return out
 
 
 def mosaics(df: DataFrame, factor: int = 16) -> DataFrame:
     """image, height, width, channels, pixels of each row with its boxes (array<OBJECT>) pixelated; pixels: BINARY, row by row."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for h, w, c, data, boxes in zip(pdf["height"], pdf["width"], pdf["channels"], pdf["pixels"], pdf["boxes"]):
-                image = np.frombuffer(bytes(data), np.uint8).reshape(h, w, c)
-                out.append(mosaic(image, [(b["x0"], b["y0"], b["x1"], b["y1"]) for b in (boxes if boxes is not None else [])], factor).tobytes())
-            yield pdf[["image", "height", "width", "channels"]].assign(pixels=out)
-
-    return df.select("image", "height", "width", "channels", "pixels", "boxes").mapInPandas(run, "image string, height int, width int, channels int, pixels binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pixels, boxes = batch.column("pixels").cast(pa.binary()), batch.column("boxes")
+            data, ends = _bytes(pixels)
+            corners = np.stack([boxes.values.field(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")], 1)
+            has = boxes.is_valid().to_pylist()
+            at = boxes.offsets.to_numpy()
+            alike: dict[tuple, list[int]] = {}
+            for i, shape in enumerate(zip(*(batch.column(c).to_pylist() for c in ("height", "width", "channels")))):
+                alike.setdefault((shape, corners[at[i] : at[i + 1]].tobytes() if has[i] else b""), []).append(i)
+            out = data.copy()
+            for (shape, _), rows in alike.items():
+                i = rows[0]
+                images = np.stack([data[ends[r] : ends[r + 1]] for r in rows]).reshape(-1, *shape)
+                made = mosaic(images, corners[at[i] : at[i + 1]].tolist() if has[i] else [], factor).reshape(len(rows), -1)
+                for r, image in zip(rows, made):
+                    out[ends[r] : ends[r + 1]] = image
+            done = pa.Array.from_buffers(pa.binary(), len(pixels), [None, pa.py_buffer(ends), pa.py_buffer(out)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEPT), done], [*KEPT, "pixels"])
+
+    return df.select(*KEPT, "pixels", "boxes").mapInArrow(run, "image string, height int, width int, channels int, pixels binary")
+
+
+def _bytes(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column's values one after the other, and where each begins, with the last one's end."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
 def detect_objects(df: DataFrame, model: Callable[[bytes], list[dict]], classes: list[str] | None = None) -> DataFrame:

@@ -291,6 +291,22 @@ def test_long_values_do_not_go_to_the_driver(spark, monkeypatch):
     assert verify.contained(texts, texts.select(F.col("text").alias("value"))).count() == 400
 
 
+def test_mosaics_of_a_batch_are_those_of_each_image(spark):
+    """Images of several sizes and boxes, taken together where these are the same, which single ones were not."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(40):
+        h, w, c = [(16, 16, 1), (9, 7, 3)][i % 2]
+        boxes = [None, [], [(0, 0, 8, 8, "face", 1.0)], [(1, 2, 30, 9, "a", 0.5), (-3, 0, 4, 4, "b", 0.5)]][i // 2 % 4]
+        rows.append((str(i), h, w, c, rng.integers(0, 256, h * w * c, np.uint8).tobytes(), boxes))
+    df = spark.createDataFrame(rows, f"image string, height int, width int, channels int, pixels binary, boxes array<{images.OBJECT}>").coalesce(1)
+    got = {r.image: bytes(r.pixels) for r in images.mosaics(df, 4).collect()}
+    for i, h, w, c, data, boxes in rows:
+        assert got[i] == images.mosaic(np.frombuffer(data, np.uint8).reshape(h, w, c), [b[:4] for b in boxes or []], 4).tobytes()
+    stack = rng.integers(0, 256, (5, 16, 16, 1), np.uint8)
+    assert (images.mosaic(stack, [(0, 0, 9, 9)], 4) == [images.mosaic(x, [(0, 0, 9, 9)], 4) for x in stack]).all()
+
+
 def test_mosaic():
     image = np.arange(64, dtype=np.uint8).reshape(8, 8, 1)
     out = images.mosaic(image, [(0, 0, 4, 4), (6, 6, 20, 20), (30, 30, 40, 40)], factor=2)
