@@ -70,11 +70,12 @@ def block_at(spans: DataFrame, blocks: DataFrame) -> DataFrame:
     return found.select("s.*", "block_ord", F.coalesce("block_page", F.lit(1)).alias("page"))
 
 
-def overlaps(spans: DataFrame, blocks: DataFrame) -> DataFrame:
-    """A row for each span and block that share characters, with the part they share (lo, hi in the document)."""
-    b = blocks.filter("char_start >= 0").select("doc_id", "ord", "type", "char_start", "char_end")
-    both = spans.alias("s").join(b.alias("b"), (F.col("s.doc_id") == F.col("b.doc_id")) & (F.col("s.start") < F.col("char_end")) & (F.col("char_start") < F.col("s.end")))
-    return both.select("s.*", "b.ord", "b.type", "char_start", "char_end", F.greatest("s.start", "char_start").alias("lo"), F.least("s.end", "char_end").alias("hi"))
+def overlaps(spans: DataFrame, blocks: DataFrame, *more: str) -> DataFrame:
+    """A row for each span and block that share characters, with the part they share (lo, hi in the document), and more of the block's columns."""
+    b = blocks.filter("char_start >= 0").select("doc_id", "ord", "type", "char_start", "char_end", *more)
+    # Spans are as many as texts have, whatever the size of the files they come from says: never broadcast.
+    both = spans.hint("merge").alias("s").join(b.alias("b"), (F.col("s.doc_id") == F.col("b.doc_id")) & (F.col("s.start") < F.col("char_end")) & (F.col("char_start") < F.col("s.end")))
+    return both.select("s.*", "b.ord", "b.type", "char_start", "char_end", F.greatest("s.start", "char_start").alias("lo"), F.least("s.end", "char_end").alias("hi"), *(f"b.{c}" for c in more))
 
 
 def split_at_blocks(spans: DataFrame, blocks: DataFrame, texts: DataFrame) -> DataFrame:

@@ -18,8 +18,7 @@ def plan(spans: DataFrame, blocks: DataFrame, pad: float = 1.0) -> DataFrame:
     Within lines by the share of characters, padded; the whole block where it has no lines (tables); none where it has
     no box. Boxes stay on their page where its size is known.
     """
-    geometry = blocks.select("doc_id", "ord", "page", "box", "lines", "width", "height")
-    parts = overlaps(spans.select("doc_id", "start", "end"), blocks).filter("hi > lo").drop("type").join(geometry, ["doc_id", "ord"])
+    parts = overlaps(spans.select("doc_id", "start", "end"), blocks, "page", "box", "lines", "width", "height").filter("hi > lo")
     in_lines = line_boxes(F.col("lines"), F.col("lo") - F.col("char_start"), F.col("hi") - F.col("char_start"), pad)
     boxes = F.when(F.size("lines") > 0, in_lines).when(F.col("box").isNotNull(), F.array("box"))
     found = parts.withColumn("box", F.explode(boxes))

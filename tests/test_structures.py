@@ -409,3 +409,11 @@ def test_json_batches_keep_order_documents_and_errors(spark):
     assert [r.error is not None for r in got if r.doc_id in (2, 5)] == [True, False] and got[-1].path == []
     dealt = jsonleaves.leaves(df, parts=3).collect()
     assert sorted(map(str, dealt)) == sorted(map(str, got))
+
+
+def test_rectangles_read_their_blocks_twice_and_once_dealt(spark, sf):
+    """The plan made the blocks a third time for their boxes, dealt them anew for each window and join, and broadcast the spans by the size of the file."""
+    from palimpsest.plans.queries import QUERIES
+
+    plan = QUERIES["rect_plan"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 2 and plan.count("Exchange") == 4 and "Broadcast" not in plan, plan
