@@ -417,3 +417,11 @@ def test_rectangles_read_their_blocks_twice_and_once_dealt(spark, sf):
 
     plan = QUERIES["rect_plan"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInPandas") == 2 and plan.count("Exchange") == 4 and "Broadcast" not in plan, plan
+
+
+def test_small_files_are_work_for_all_cores(spark, sf):
+    """Customers are one small file, which was one task however many rows it has."""
+    from palimpsest.plans.queries import keyed
+
+    rows = keyed(spark, sf)
+    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and rows.select("c_custkey").distinct().count() == rows.count() == 150
