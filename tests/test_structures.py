@@ -382,6 +382,20 @@ def test_large_arrays_are_rows_of_elements(spark, indent, end):
         assert back[4].json == '{"a": "13812345678"}' and back[9].json == '"13812345678"'
 
 
+def test_only_texts_with_a_table_leave_the_jvm(spark, monkeypatch):
+    """All texts went to Python; its function is now called for those that have a table's rule, and the others come out the same."""
+    texts = ["a  b   c", "a\n b  c", "a\rb  c", "", None, "x  | a | b |  | --- | --- |  | 1 | 2 |  y", "| --- |", "***  | a |  | --- |  z"]
+    masks = [[], [], [], [], [], [], None, ["***", None, ""]]
+    df = spark.createDataFrame([*zip(range(8), texts, masks)], "i int, text string, masks array<string>").coalesce(1)
+    want = [None if t is None else t if i == 7 else newlines.restored(t) for i, t in enumerate(texts)]
+    assert [r.o for r in df.select("i", newlines.restore(F.col("text"), F.col("masks")).alias("o")).orderBy("i").collect()] == want
+    given = spark.sparkContext.accumulator(0)
+    real = newlines.restored
+    counted = lambda t: (given.add(1), real(t))[1]
+    monkeypatch.setattr(newlines, "_made", lambda ts: ts.map(lambda t: t and counted(t)), raising=False)
+    assert df.select(newlines.restore(F.col("text"), F.col("masks")).alias("o")).filter("o is not null").count() == 7 and given.value == 2
+
+
 def test_many_small_json_documents_share_batches(spark):
     """A batch for each document took milliseconds for each: 40,000 of them, minutes."""
     import time
